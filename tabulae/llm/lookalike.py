@@ -28,11 +28,15 @@ LOOKALIKES = {
     "ɑ": "a", "ɡ": "g", "ı": "i",
 }
 # Hyphens that look like the ASCII one.
-HYPHENS = "‐‑⁃﹣－˗"
+HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d\u02d7"
 #: Ligatures are the compatibility characters of these names; other compatibility characters (raised digits, fractions, circled forms) look different and stay.
 LIGATURES = "LATIN SMALL LIGATURE", "LATIN CAPITAL LIGATURE", "ARMENIAN SMALL LIGATURE"
 
 
+#: Stands for a joiner that stays while a stretch is treated; the text's own private-use characters are untouched but for this noncharacter.
+STAYS = "\ufdd0"
+
+
 @lru_cache(maxsize=1)
 def mapping() -> dict[str, str]:
     """What each character is replaced by (nothing, for invisible ones), built from the Unicode database: canonical decompositions, full-width and half-width forms, ligatures, blanks, invisible characters, then look-alikes of the results."""
@@ -49,7 +53,7 @@ def mapping() -> dict[str, str]:
             return "-"
         if category == "Zs":
             return " "
-        if category == "Cf" or c in "͏ᅟᅠ឴឵ㅤﾠ" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
+        if category == "Cf" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
             return ""
         return LOOKALIKES.get(c, c)
 
@@ -86,7 +90,7 @@ def canonical_stretches(stretches: DataFrame) -> DataFrame:
     A zero-width joiner between two pictographs changes how they look and stays.
     """
     chars, classes = (F.broadcast(t) for t in _tables(stretches.sparkSession))
-    keep = F.regexp_replace("stretch", "(?<=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\\x{200D}(?=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])", "")
+    keep = F.regexp_replace("stretch", "(?<=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\\x{200D}(?=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])", STAYS)
     points = stretches.select("stretch", F.posexplode(F.split(keep, "")).alias("pos", "ch")).where("ch <> ''")
     points = points.join(chars, "ch", "left").select("stretch", "pos", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("part", "ch").alias("part")).where("part <> ''")
     points = points.join(classes, "part", "left").fillna(0, ["class"])
@@ -96,9 +100,9 @@ def canonical_stretches(stretches: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFC", x).replace("", "‍"))
+        return s.map(lambda x: unicodedata.normalize("NFC", x).replace(STAYS, "\u200d"))
 
-    made = ordered.select("stretch", F.when(F.exists("points", lambda p: p["class"] > 0), compose(joined)).otherwise(F.replace(joined, F.lit(""), F.lit("‍"))).alias("form"))
+    made = ordered.select("stretch", F.when(F.exists("points", lambda p: p["class"] > 0), compose(joined)).otherwise(F.replace(joined, F.lit(STAYS), F.lit("\u200d"))).alias("form"))
     return stretches.join(made, "stretch", "left").select("stretch", F.coalesce("form", F.lit("")).alias("form"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulae.llm.lookalike import canonical_texts, lookalike_pairs
 from tabulae.llm.mixture import mix, plan_mixture, shares
+from tabulae.llm.scanned import noisy_lines, paragraphs
 from tabulae.llm.split import split_items
 from tabulae.llm.tokens import count_tokens, encode_texts
 from tabulae.llm.topn import top_items
@@ -33,6 +34,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return top_items(read(spark, d, "text_evidence"), "document_id", "chunk_id", "relevance_score", "page_number")
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "text_evidence").select("ref_id", "document_name", "page_number", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return noisy_lines(_scans(spark, d))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs(_scans(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(read(spark, d, "documents"))
 
@@ -61,7 +74,7 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(read(spark, d, "documents")).select("doc_id", F.col("form").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p4_paragraphs, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_texts)}
 
 SQL = {
     "p1_found": r"""
