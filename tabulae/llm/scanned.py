@@ -128,26 +128,31 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
     ``rows``: ``ref_id``, ``document_name``, ``page_number``, ``text``. A repeated row gives its lines once.
     """
-    base = rows.where("ref_id IS NOT NULL AND text IS NOT NULL").select("ref_id", "document_name", "page_number", F.col("text").rlike(_BROKEN).alias("broken"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    # the test of the whole text stays below the explosion to lines, so it runs once a row
+    base = rows.where("ref_id IS NOT NULL AND text IS NOT NULL").select("ref_id", "document_name", "page_number", "text", (F.col("text").contains("\n") & F.col("text").rlike(_BROKEN)).alias("broken"))
+    base = base.select("ref_id", "document_name", "page_number", "broken", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     base = base.withColumn("line", F.btrim("raw", F.lit(_STRIP)))
-    short = (F.char_length("line") <= 90) & ~F.col("line").rlike(r"[.!?;:,]$|^\|.*\|$")
-    base = base.where(F.col("broken") | short)
+    last = F.substring("line", -1, 1)
+    base = base.withColumn("short", (F.char_length("line") <= 90) & ~last.isin(*".!?;:,|"))
+    base = base.where(F.col("broken") | F.col("short"))
     feeds = F.char_length("raw") - F.char_length(F.replace("raw", F.lit("\f"), F.lit("")))
-    base = base.select("ref_id", (F.col("pos") + 1).alias("line_no"), "broken", "line", feeds.alias("feeds"), "page_number", F.when(short, F.col("document_name")).alias("name"))
+    base = base.select("ref_id", (F.col("pos") + 1).alias("line_no"), "broken", "line", "short", feeds.alias("feeds"), "page_number", F.when(F.col("short"), F.col("document_name")).alias("name"))
     base = base.repartition("ref_id").dropDuplicates(["ref_id", "line_no"])
     order = W.partitionBy("ref_id").orderBy("line_no")
+    brief = F.char_length("line") <= 24
     number = F.regexp_extract("line", r"(\d{1,5})", 1).cast("int")
     expected = F.col("page_number") + F.sum("feeds").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    numeric = F.col("line").rlike(r"^[(\-–]?[\d.,]+[)%]?$")
+    numeric = brief & F.col("line").rlike(r"^[(\-\u2013]?[\d.,]+[)%]?$")
     block = F.coalesce(F.lag(numeric).over(order), F.lit(False)) | F.coalesce(F.lead(numeric).over(order), F.lit(False))
     dressed_number = F.col("line").rlike(_NUMBER_LINE)
     bare = F.col("line").rlike(r"^\d{1,5}$")
-    is_page = (dressed_number | bare) & F.coalesce(number == expected, dressed_number | ~block)
+    is_page = F.when(brief & (dressed_number | bare), F.coalesce(number == expected, dressed_number | ~block)).otherwise(False)
     base = base.withColumn("is_page", is_page)
     core = F.regexp_replace("line", _DRESS, "")
-    header_like = ~F.col("is_page") & short & F.col("line").rlike(r"\p{L}.*\p{L}") & ~F.col("line").rlike("[" + HYPHEN + "]$") & (F.char_length("line") >= 3)
-    key = F.btrim(F.regexp_replace(skeleton(F.regexp_replace(core, _MASK, "#")), r"[^\p{L}\p{N}#]+", " "))
-    base = base.withColumn("core", F.when(header_like, key)).withColumn("dressed", core != F.col("line"))
+    header_like = F.col("short") & ~F.col("is_page") & (F.char_length("line") >= 3) & ~F.substring("line", -1, 1).isin(*HYPHEN) & F.col("line").rlike(r"\p{L}.*\p{L}")
+    base = base.withColumn("core", F.when(header_like, core))
+    key = F.btrim(F.regexp_replace(skeleton(F.regexp_replace("core", _MASK, "#")), r"[^\p{L}\p{N}#]+", " "))
+    base = base.withColumn("dressed", F.col("core") != F.col("line")).withColumn("core", F.when(F.col("core").isNotNull(), key))
     parts = F.filter(F.split("core", " "), lambda t: (t != "#") & (t != ""))
     titled = (F.size(parts) >= 3) & (F.size(F.array_except(parts, _name_tokens(F.col("name")))) == 0)
     return base.withColumn("titled", F.coalesce(titled, F.lit(False)))
@@ -203,9 +208,7 @@ def noise(rows: DataFrame) -> dict[str, DataFrame]:
     joints = checkpoint(joints)
 
     common = words.join(fixes, "word", "left_anti").where(~F.col("word").contains("-")).orderBy(F.desc("n"), "word").limit(COMMON).select("word")
-    running = lines.where((F.col("role") == "text") & F.col("line").rlike(r"\p{L}"))
-    scanned = lines.groupBy("ref_id").agg((F.bool_or("broken") | F.bool_or(F.col("role").isin("header", "page_number"))).alias("scanned")).where("scanned")
-    running = running.join(scanned, "ref_id", "left_semi")
+    running = lines.where(F.col("broken") & (F.col("role") == "text"))
     order = W.partitionBy("ref_id").orderBy("line_no")
     ended = F.col("line").rlike(r"[\p{L}\p{N}][" + HYPHEN + "]$")
     inner = F.when(ended, F.regexp_replace("line", r"[\p{L}\p{N}]+.$", "")).otherwise(F.col("line"))
@@ -215,8 +218,9 @@ def noise(rows: DataFrame) -> dict[str, DataFrame]:
     tokens = tokens.unionByName(whole.select("ref_id", "line_no", F.col("raw_a").alias("token"))).unionByName(whole.where("raw_b <> ''").select("ref_id", F.col("next_no").alias("line_no"), F.col("raw_b").alias("token")))
     digit = "[0-9" + "".join(DIGITS_READ) + "]"
     number = (F.col("token").rlike(f"^(?:FY|Q)?{digit}+(?:[.,]{digit}+)*$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("^(?:FY|Q)?.*[" + "".join(DIGITS_READ) + "]")) | F.col("token").rlike("^Q[" + "".join(DIGITS_READ) + "]$")
-    rare = tokens.withColumn("number", number).withColumn("word", F.lower("token"))
-    rare = rare.where(F.col("number") | F.col("token").rlike(r"[\p{IsLatin}]")).join(F.broadcast(common), "word", "left_anti")
+    # the common words go first, so the patterns see only what is left
+    rare = tokens.withColumn("word", F.lower("token")).join(F.broadcast(common), "word", "left_anti")
+    rare = rare.where(F.col("token").rlike(r"[\p{IsLatin}]")).withColumn("number", number)
     head = F.regexp_extract("token", "^(FY|Q)?", 0)
     digits = F.concat(head, F.translate(F.substring("token", F.char_length(head) + 1, 99), "".join(DIGITS_READ), "".join(DIGITS_READ.values())))
     numbers = rare.where("number").select("ref_id", "line_no", "token", digits.alias("form"))
