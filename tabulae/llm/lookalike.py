@@ -1,7 +1,7 @@
 """One consistent form for texts that look alike.
 
-Only the stretches of a text that hold a character with a mapping, a combining mark or an invisible
-character are taken out; the distinct stretches are exploded to positioned code points, mapped by
+Only the stretches of a text that hold a character beyond ASCII and the letters of Latin-1 are
+taken out; the distinct stretches are exploded to positioned code points, mapped by
 broadcast joins, their combining marks ordered by class, recomposed and put back. Texts without
 such characters are their own form.
 """
@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tabulae.session import checkpoint
 
 # Letters of other scripts and the Latin letters that they look like.
 LOOKALIKES = {
@@ -64,17 +65,10 @@ def mapping() -> dict[str, str]:
     return out
 
 
-@lru_cache(maxsize=1)
-def touched() -> str:
-    """A character class (its inside) of all characters that may change a text: mapped ones that do not merely recompose to themselves, and combining marks."""
-    change = sorted(ord(c) for c, to in mapping().items() if unicodedata.normalize("NFC", to) != c)
-    ranges: list[list[int]] = []
-    for i in change:
-        if ranges and i == ranges[-1][1] + 1:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
-    return "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "\\p{M}"
+#: Characters that no mapping changes: ASCII and the letters of Latin-1, which recompose to themselves. Any other makes a text worth treating.
+STABLE = "\\x00-\\x7F\\xC0-\\xD6\\xD8-\\xF6\\xF8-\\xFF"
+#: A stretch between blanks that holds another character; it is only tried where a stretch begins, so time is linear in the text.
+STRETCH = f"(?<![^ \\t\\r\\n])[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x21-\\x7F{STABLE[9:]}]*+[^{STABLE}][^ \\t\\r\\n]*+"
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +111,14 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Only texts with a touched character are shuffled, as stretches between blanks; each distinct
     stretch is treated once.
     """
-    affected = f"[^ \\t\\r\\n]*[{touched()}][^ \\t\\r\\n]*"
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    hit = F.col("text").rlike(f"[{touched()}]")
+    hit = F.col("text").rlike(f"[^{STABLE}]")
     plain = base.where(F.col("text").isNull() | ~hit).select("key", "text", F.col("text").alias("form"))
     odd = base.where(hit).withColumn("id", F.sha2("text", 256))
     cut = odd.groupBy("id").agg(F.first("text").alias("text"))
-    cut = cut.select("id", F.split("text", affected, -1).alias("between"), F.regexp_extract_all("text", F.lit(affected), F.lit(0)).alias("parts"))
+    # written once: the stretches are read for the vocabulary, for their places and for putting texts back
+    cut = cut.select("id", F.split("text", STRETCH, -1).alias("between"), F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)).alias("parts"))
+    cut = checkpoint(cut)
     spread = cut.select("id", F.posexplode("parts").alias("pos", "stretch"))
     forms = canonical_stretches(spread.select("stretch").distinct())
     put = spread.join(forms, "stretch").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("forms"))
@@ -142,6 +137,7 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     shaped = canonical_texts(docs, key, text).where(F.col("form").rlike(r"\S"))
     named = shaped.select(F.col(key).alias("doc"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("body")).distinct()
+    named = checkpoint(named)
     bodies = named.select("form", "body").distinct()
     alike = bodies.groupBy("form").agg(F.collect_list("body").alias("bodies")).where(F.size("bodies") > 1)
     one = alike.select("form", F.explode("bodies").alias("body_a"), "bodies")
