@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulae.operators.orphans import clean_key
-from tabulae.session import small
+from tabulae.session import salted_join
 
 # Units with their dimension and size in the dimension's base (USD, INR, EUR, GBP: one; share: one basis point; energy: J; mass: mg; volume: mL; area: cm2; duration: s).
 CURRENCIES = {"USD": "USD", "US$": "USD", "$": "USD", "DOLLAR": "USD", "DOLLARS": "USD", "EUR": "EUR", "€": "EUR", "EURO": "EUR", "EUROS": "EUR", "GBP": "GBP", "£": "GBP", "POUND": "GBP", "POUNDS": "GBP", "INR": "INR", "₹": "INR", "RS": "INR", "RS.": "INR", "RUPEE": "INR", "RUPEES": "INR"}
@@ -255,17 +255,15 @@ def dataset_units(datasets: DataFrame, tables: DataFrame, unit_targets: DataFram
     Re-delivered rows give one result; null arrays, null columns and empty tables give none; of
     several columns with one key the first counts for identities.
 
-    The tables' cells are reduced to one row per table, before the join, and the join key is salted.
+    The tables' cells are reduced to one row per column before the join; votes are joined by salted key.
     """
     goal = _targets(unit_targets)
     rows = datasets.select(F.col("dataset_id").alias("rec_key"), clean_key(F.col("table_id")).alias("table"), "title", "page_start", "page_end", "columns", F.transform("source_regions", lambda r: r["page"]).alias("pages"))
-    flat = rows.where("columns IS NOT NULL").select(F.explode("columns").alias("c")).where("c.type = 'number'").select("c.key", "c.unit", "c.label")
-    votes = small(dimension_votes(flat))
-    facts = cell_units(tables).groupBy("table").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("cell_unit", "log")))).alias("facts"))
-    vote_map = votes.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("key", "dimension"))).alias("votes"))
-    keyed = rows.withColumn("table", F.coalesce("table", F.lit(""))).join(facts, "table", "left").crossJoin(F.broadcast(vote_map))
-    given = F.transform(F.filter("columns", lambda c: (c["type"] == "number") & c["key"].isNotNull()), lambda c: F.struct(c["key"].alias("key"), c["unit"].alias("unit"), c["label"].alias("label"), F.try_element_at("facts", c["key"]).alias("fact"), F.try_element_at("votes", c["key"]).alias("dimension")))
-    picked = keyed.select("rec_key", "title", "page_start", "page_end", given.alias("given"), "pages")
+    rows = rows.withColumn("row", F.sha2(F.to_json(F.struct("*")), 256)).dropDuplicates(["row"])
+    flat = rows.select("row", "table", F.posexplode("columns").alias("pos", "c")).where("c.type = 'number' AND c.key IS NOT NULL").select("row", "table", "pos", "c.key", "c.unit", "c.label")
+    known = salted_join(flat, dimension_votes(flat), ["key"], F.col("row")).join(cell_units(tables), ["table", "key"], "left")
+    given = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "unit", "label", "cell_unit", "log", "dimension"))).alias("given"))
+    picked = rows.select("row", "rec_key", "title", "page_start", "page_end", "pages").join(given, "row", "left").select("rec_key", "title", "page_start", "page_end", "given", "pages")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -279,9 +277,8 @@ def _dataset(title, page_start, page_end, given, pages, goal) -> list[dict]:
     out = []
     columns = []
     for c in given if given is not None else []:
-        fact = c["fact"] or {}
         free = [parse_unit(u) for u in FREE.get(c["dimension"], [])]
-        columns.append({"key": c["key"], "candidates": candidates(c["unit"], c["label"], fact.get("cell_unit"), title, c["dimension"]), "free": free, "log": fact.get("log")})
+        columns.append({"key": c["key"], "candidates": candidates(c["unit"], c["label"], c["cell_unit"], title, c["dimension"]), "free": free, "log": c["log"]})
     for c, (reading, miss, unsure) in zip(columns, solve(columns)):
         if reading and (to := common(reading, goal)):
             out.append({"item": c["key"], "common_unit": to[0], "factor": float(to[1]), "common_number": round(to[1]), "residual": float(miss), "non_unique": bool(unsure)})
