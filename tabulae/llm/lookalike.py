@@ -84,7 +84,7 @@ def canonical_stretches(stretches: DataFrame) -> DataFrame:
     A zero-width joiner between two pictographs changes how they look and stays.
     """
     chars, classes = (F.broadcast(t) for t in _tables(stretches.sparkSession))
-    keep = F.regexp_replace("stretch", "(?<=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\\x{200D}(?=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])", STAYS)
+    keep = F.regexp_replace("stretch", "([\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\\x{200D}(?=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])", "$1" + STAYS)
     points = stretches.select("stretch", F.posexplode(F.split(keep, "")).alias("pos", "ch")).where("ch <> ''")
     points = points.join(chars, "ch", "left").select("stretch", "pos", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("part", "ch").alias("part")).where("part <> ''")
     points = points.join(classes, "part", "left").fillna(0, ["class"])

@@ -59,6 +59,7 @@ def mix(sizes: DataFrame, targets: DataFrame, bits: int = BITS, tilt: float = TI
     Cumulative sums run over prefixes of the hash first (2 ** ``bits`` a source, summed before the
     shuffle) and then within a prefix, so no task holds a whole source.
     """
+    sizes = sizes.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     plan = plan_mixture(sizes, targets, tilt)
     docs = sizes.join(small(plan.select("source", "tokens", "planned", "max_repeats", "slope").where("planned > 0")), "source")
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("prefix", F.shiftrightunsigned("h", 64 - bits))

@@ -112,6 +112,8 @@ def corrections(words: DataFrame) -> DataFrame:
     return tried.withColumn("form", best("word", "n", "forms")).where("form IS NOT NULL").select("word", "form")
 
 
+#: Marks a compound broken at its own hyphen until its parts are joined; a noncharacter, so no text holds it.
+STAYS = "\ufdd1"
 _STRIP = " \t\r\n\f\v\u00a0"
 _NUMBER_LINE = r"(?i)^(?:(?:page|seite|p[áa]gina|p[áa]g\.?|p\.|s\.)\s*\d{1,5}(?:\s*(?:of|de|von|sur|/)\s*\d{1,5})?|[-–—]\s?\d{1,5}\s?[-–—]|\[\d{1,5}\]|\(\d{1,5}\)|\d{1,5}\s?/\s?\d{1,5})$"
 _DRESS = r"^\d{1,5}\s*\|\s*|\s+[–—-]\s*\d{1,5}$|\s{2,}\d{1,5}$|\s*\|\s*\d{1,5}$"
@@ -207,7 +209,7 @@ def noise(rows: DataFrame) -> dict[str, DataFrame]:
     joints = settled.unionByName(open_.select(*shared, "joined_form", cut_open.alias("cut")))
     joints = checkpoint(joints)
 
-    common = words.join(fixes, "word", "left_anti").where(~F.col("word").contains("-")).orderBy(F.desc("n"), "word").limit(COMMON).select("word")
+    common = words.join(fixes, "word", "left_anti").where(F.col("word").rlike(r"^(?:\p{L}+|[0-9]+)$")).orderBy(F.desc("n"), "word").limit(COMMON).select("word")
     running = lines.where(F.col("broken") & (F.col("role") == "text"))
     order = W.partitionBy("ref_id").orderBy("line_no")
     ended = F.col("line").rlike(r"[\p{L}\p{N}][" + HYPHEN + "]$")
@@ -258,11 +260,12 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     found = noise(rows)
     fix = found["misread"].where("token IS NOT NULL").groupBy("ref_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("token", "form"))).alias("fixes"))
     joints = found["joints"].where("cut").select("ref_id", "line_no", "joined_form", "raw_a")
+    kept = found["joints"].where("NOT cut AND next_no IS NOT NULL").select("ref_id", "line_no", F.lit(True).alias("compound"))
     comes = found["joints"].where("cut").select("ref_id", F.col("next_no").alias("line_no"), "raw_b", F.lit(True).alias("continues")).where("line_no IS NOT NULL")
     order = W.partitionBy("ref_id").orderBy("line_no")
     lines = found["lines"].where("broken")
     lines = lines.withColumn("gap", F.coalesce(F.lag(F.col("role") != "text").over(order), F.lit(True))).where("role = 'text'")
-    lines = lines.join(fix, ["ref_id", "line_no"], "left").join(joints, ["ref_id", "line_no"], "left").join(comes, ["ref_id", "line_no"], "left")
+    lines = lines.join(fix, ["ref_id", "line_no"], "left").join(joints, ["ref_id", "line_no"], "left").join(comes, ["ref_id", "line_no"], "left").join(kept, ["ref_id", "line_no"], "left")
     body = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<token:string,form:string>>")), F.col("line"), lambda t, f: F.replace(t, f["token"], f["form"]))
     whole = F.coalesce("joined_form", F.concat("raw_a", F.coalesce("next_b", F.lit(""))))
     lines = lines.withColumn("ends", F.coalesce(F.lag(F.col("line").rlike(r"[.!?:]['\")\]]?$")).over(order), F.lit(True)))
@@ -271,6 +274,6 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     lines = lines.withColumn("next_b", F.lead("raw_b").over(order))
     head = F.when(F.col("continues"), F.ltrim(F.regexp_replace(body, r"^[\p{L}\p{N}]+", ""))).otherwise(body)
     tail = F.when(F.col("raw_a").isNotNull(), F.concat(F.regexp_replace(head, r"[\p{L}\p{N}]+[" + HYPHEN + "]$", ""), whole)).otherwise(head)
-    made = lines.select("ref_id", "paragraph_no", "line_no", tail.alias("piece"))
+    made = lines.select("ref_id", "paragraph_no", "line_no", F.when(F.col("compound"), F.concat(tail, F.lit(STAYS))).otherwise(tail).alias("piece"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), " ")
-    return made.groupBy("ref_id", "paragraph_no").agg(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" ([.,;:!?%)])", "$1").alias("text"))
+    return made.groupBy("ref_id", "paragraph_no").agg(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(STAYS + " "), F.lit("")), r"\s+", " "), r" ([.,;:!?%)])", "$1").alias("text"))
