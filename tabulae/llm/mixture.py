@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.session import small
+from tabulae.session import checkpoint, small
 
 #: Prefixes of the hash order that cumulative sums are first taken over: 2 ** BITS a source.
 BITS = 12
@@ -59,7 +59,8 @@ def mix(sizes: DataFrame, targets: DataFrame, bits: int = BITS, tilt: float = TI
     Cumulative sums run over prefixes of the hash first (2 ** ``bits`` a source, summed before the
     shuffle) and then within a prefix, so no task holds a whole source.
     """
-    sizes = sizes.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    # written once: counting tokens is the dear part, and the plan, the prefixes and the documents all need them
+    sizes = checkpoint(sizes.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
     plan = plan_mixture(sizes, targets, tilt)
     docs = sizes.join(small(plan.select("source", "tokens", "planned", "max_repeats", "slope").where("planned > 0")), "source")
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("prefix", F.shiftrightunsigned("h", 64 - bits))
@@ -79,6 +80,7 @@ def mix(sizes: DataFrame, targets: DataFrame, bits: int = BITS, tilt: float = TI
 
 def shares(sizes: DataFrame, targets: DataFrame, bits: int = BITS) -> DataFrame:
     """The shares really reached: ``source``, ``target_share``, ``used_tokens``, ``actual_share``, ``documents_used``, ``most_copies``, ``short``."""
+    sizes = checkpoint(sizes.select("doc_id", "source", "n_tokens"))
     used = mix(sizes, targets, bits).groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.count_distinct("doc_id").alias("documents_used"), F.max("copy_no").alias("most_copies"))
     rows = plan_mixture(sizes, targets).select("source", "target_share", "short").join(used, "source", "left").fillna(0, ["used_tokens", "documents_used", "most_copies"])
     whole = F.sum("used_tokens").over(W.partitionBy(F.lit(1)))
