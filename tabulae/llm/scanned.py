@@ -150,10 +150,12 @@ def lines_of(rows: DataFrame) -> DataFrame:
     bare = F.col("line").rlike(r"^\d{1,5}$")
     is_page = F.when(brief & (dressed_number | bare), F.coalesce(number == expected, dressed_number | ~block)).otherwise(False)
     base = base.withColumn("is_page", is_page)
-    core = F.regexp_replace("line", _DRESS, "")
+    digit_at = lambda at: F.substring("line", at, 1).between("0", "9")
+    core = F.when(digit_at(1) | digit_at(-1), F.regexp_replace("line", _DRESS, "")).otherwise(F.col("line"))
     header_like = F.col("short") & ~F.col("is_page") & (F.char_length("line") >= 3) & ~F.substring("line", -1, 1).isin(*HYPHEN) & F.col("line").rlike(r"\p{L}.*\p{L}")
     base = base.withColumn("core", F.when(header_like, core))
-    key = F.btrim(F.regexp_replace(skeleton(F.regexp_replace("core", _MASK, "#")), r"[^\p{L}\p{N}#]+", " "))
+    masked = F.when(F.col("core").rlike("[0-9]"), F.regexp_replace("core", _MASK, "#")).otherwise(F.col("core"))
+    key = F.btrim(F.regexp_replace(skeleton(masked), r"[^\p{L}\p{N}#]+", " "))
     base = base.withColumn("dressed", F.col("core") != F.col("line")).withColumn("core", F.when(F.col("core").isNotNull(), key))
     parts = F.filter(F.split("core", " "), lambda t: (t != "#") & (t != ""))
     titled = (F.size(parts) >= 3) & (F.size(F.array_except(parts, _name_tokens(F.col("name")))) == 0)
