@@ -126,3 +126,60 @@ def uuid5(namespace_hex: str, name: Column | str) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(col(name), "UTF-8")))
     variant = F.lower(F.hex(F.shiftright(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int").bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128)), 0)))
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 19, 2)), F.substring(digest, 21, 12))
+
+
+def collapse_nbsp(c: Column | str) -> Column:
+    """Collapsed text in which non-breaking blanks are blanks."""
+    return collapse(F.replace(F.coalesce(col(c), F.lit("")), F.lit("\u00a0"), F.lit(" ")))
+
+
+# Words of a heading's frame that say nothing about its topic.
+HEADING_FRAME = r"\b(?:chapter|section|part|unit|lesson|module|appendix|figure|table|the|a|an|of|and|in|on|for|to|introduction|overview)\b"
+
+
+def heading(c: Column | str) -> Column:
+    """A heading in lower case without numbering, frame words and punctuation."""
+    s = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"^\s*\d+(?:\.\d+)*[.)]?\s+", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, HEADING_FRAME, " "), r"[^\p{L}\p{N}]+", " "), r" +", " "))
+
+
+def truncate(c: Column | str, limit: int) -> Column:
+    """At most ``limit`` characters: longer texts are cut at the last blank before it and end in an ellipsis."""
+    s = collapse(c)
+    cut = F.substring(s, 1, limit - 1)
+    word = F.regexp_replace(cut, r" [^ ]*$", "")
+    return F.when(F.char_length(s) <= limit, s).otherwise(F.concat(F.rtrim(word), F.lit("…")))
+
+
+def extracted_unit(c: Column | str) -> Column:
+    """The unit that a header names at extraction: a currency symbol alone, a currency code with its scale, or a percent sign."""
+    s = col(c)
+    code = F.regexp_extract(s, r"(?i)\b((?:INR|USD|EUR|GBP)(?:\s+(?:crores?|lakhs?|millions?|billions?|thousands?))?)\b", 1)
+    return F.when(s.contains("₹"), "INR").when(s.contains("$"), "USD").when(code != "", F.upper(code)).when(s.contains("%"), "%")
+
+
+def column_label(c: Column | str, position: Column) -> Column:
+    """A header without a closing "In USD" or the like; blank ones are numbered."""
+    s = F.btrim(F.regexp_replace(collapse(F.coalesce(col(c), F.lit(""))), r"(?i)\s*[(\[]?\b(?:in\s+)?(?:INR|USD|EUR|GBP)\b[^)\]]*[)\]]?$", ""))
+    return F.when(s == "", F.concat(F.lit("Column "), position)).otherwise(s)
+
+
+def page_label(first: Column, last: Column) -> Column:
+    return F.when(first.isNull(), "pages unknown").when(F.coalesce(last, first) == first, F.concat(F.lit("page "), first)).otherwise(F.concat(F.lit("pages "), first, F.lit("-"), last))
+
+
+def periods_in(c: Column | str) -> Column:
+    """Years and year ranges in a text, without a leading FY, each once."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(?i)\b(?:fy\s*)?((?:19|20)\d{2}(?:\s*[-–/]\s*(?:(?:19|20)\d{2}|\d{2}))?)\b"), F.lit(1))
+    return F.array_distinct(found)
+
+
+def looks_numeric(c: Column | str) -> Column:
+    """Whether a cell is a number with the usual dress, or a dash or year."""
+    return F.coalesce(collapse(c).rlike(r"(?i)^[(\[]?[-+]?(?:[$€£₹]|usd|inr|eur|gbp)?\s*\d[\d,]*(?:\.\d+)?\s*(?:%|x|bn|mn|m|k)?[)\]]?$|^(?:fy)?(?:19|20)\d{2}(?:[-–/]\d{2,4})?$"), F.lit(False))
+
+
+def slug(kind: Column, name: Column | str) -> Column:
+    """A stable id of a kind and a name: at most 48 characters of the name in snake case and 8 digits of its hash."""
+    s = F.btrim(F.regexp_replace(F.lower(col(name)), r"[^a-z0-9]+", "_"), F.lit("_"))
+    return F.concat(F.lit("req_"), kind, F.lit("_"), F.substring(s, 1, 48), F.lit("_"), F.substring(F.sha2(col(name), 256), 1, 8))
