@@ -11,7 +11,7 @@ from tabulae.llm.scanned import noisy_lines, paragraphs
 from tabulae.llm.split import split_items
 from tabulae.llm.tokens import count_tokens, encode_texts
 from tabulae.llm.topn import top_items
-from tabulae.session import read
+from tabulae.session import read, small
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     limits = read(spark, d, "size_limits")
-    plan = split_items(_items(spark, d), limits, with_text=False).where("piece_no = 1").join(F.broadcast(limits.select("collection", "max_chars").limit(1000)), "collection")
+    plan = split_items(_items(spark, d), limits, with_text=False).where("piece_no = 1").join(small(limits.select("collection", "max_chars")), "collection")
     return plan.groupBy("rec_table", "rec_key").agg(F.when(F.max(F.col("longest_stretch") > F.col("max_chars")), "yes").otherwise("no").alias("forced"))
 
 
