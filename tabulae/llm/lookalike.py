@@ -26,7 +26,7 @@ LOOKALIKES = {
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "օ": "o", "ա": "w", "ց": "g", "հ": "h", "ո": "n", "ս": "u", "յ": "j", "Օ": "O", "Տ": "S", "Ս": "U",
-    "ɑ": "a", "ɡ": "g", "ı": "i",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ӏ": "l", "Ӏ": "I", "\u00b5": "\u03bc",
 }
 # Hyphens that look like the ASCII one.
 HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d\u02d7"
