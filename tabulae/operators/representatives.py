@@ -114,3 +114,33 @@ def representatives(rows: DataFrame, node: str, key: str, vector: str, block: in
         return group.iloc[picked][[node, "section", key]]
 
     return cut.groupBy(node, "section").applyInPandas(choose, f"{node} int, section bigint, {key} bigint")
+
+
+def diverse(rows: DataFrame, node: str, key: str, vector: str, budget: int, block: int = 400) -> DataFrame:
+    """``budget`` items of each section of a node by marginal relevance, both ends always among them."""
+    cut = rows.select(F.col(node).cast("int").alias(node), F.floor(F.col(key) / block).cast("bigint").alias("section"), F.col(key).cast("bigint").alias(key), vector).where(F.col(vector).isNotNull())
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        n = len(group)
+        picked = range(n) if n <= budget else marginal(unit(np.stack(group[vector].to_numpy()).astype(np.float64)), {0, n - 1}, budget)
+        return group.iloc[list(picked)][[node, "section", key]]
+
+    return cut.groupBy(node, "section").applyInPandas(choose, f"{node} int, section bigint, {key} bigint")
+
+
+def scope_representatives(rows: DataFrame, node: str, key: str, vector: str, budget: int, block: int = 400) -> DataFrame:
+    """A budget over all sections of a node: seats by ``quotas``, each section's items by marginal relevance within its seats."""
+    cut = rows.select(F.col(node).cast("int").alias(node), F.floor(F.col(key) / block).cast("bigint").alias("section"), F.col(key).cast("bigint").alias(key), vector).where(F.col(vector).isNotNull())
+    sizes = cut.groupBy(node, "section").agg(F.count("*").alias("n_items")).select(node, F.col("section").alias("node_id"), F.col("section").alias("pos"), "n_items")
+    seats = quotas(sizes, node, budget).select(node, F.col("node_id").alias("section"), "quota")
+    given = cut.join(seats, [node, "section"])
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        n, seats = len(group), int(group.quota.iloc[0])
+        ends = {0, n - 1} if seats >= 2 else set()
+        picked = range(n) if seats >= n else marginal(unit(np.stack(group[vector].to_numpy()).astype(np.float64)), ends, seats)
+        return group.iloc[list(picked)][[node, "section", key]]
+
+    return given.groupBy(node, "section").applyInPandas(choose, f"{node} int, section bigint, {key} bigint")

@@ -89,3 +89,41 @@ def continued_fragments(fragments: DataFrame) -> DataFrame:
     run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     near = near.withColumn("_run", run)
     return near.select("document_id", "fragment_id", "page", F.first("fragment_id").over(W.partitionBy("document_id", "_run").orderBy("page", "fragment_id")).alias("chain"))
+
+
+def visual_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Words with ``row_no``, their visual row from the top of the page: a word joins the row whose mean height is within the tolerance.
+
+    ``words``: ``page_id``, ``word_id``, ``x``, ``y``. A page's words are few; each page is one group.
+    """
+
+    def rows_of(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y", "x", "word_id"])
+        total, count, row, out = 0.0, 0, -1, []
+        for y in page.y:
+            if count and abs(y - total / count) <= tolerance:
+                total, count = total + y, count + 1
+            else:
+                total, count, row = y, 1, row + 1
+            out.append(row)
+        return page.assign(row_no=out)[["page_id", "word_id", "row_no"]]
+
+    return words.where("x IS NOT NULL AND y IS NOT NULL").select("page_id", "word_id", "x", "y").groupBy("page_id").applyInPandas(rows_of, "page_id string, word_id string, row_no int")
+
+
+def column_anchors(words: DataFrame, tolerance: float = 9.0, least_rows: int = 2) -> DataFrame:
+    """Columns of a page: left edges clustered with a running mean, kept if they occur in ``least_rows`` rows: ``page_id``, ``anchor``, ``n_rows``."""
+
+    def anchors(page: pd.DataFrame) -> pd.DataFrame:
+        found: list[list] = []
+        for x, row in sorted(zip(page.x, page.row_no)):
+            if found and abs(x - found[-1][0] / found[-1][1]) <= tolerance:
+                found[-1][0] += x
+                found[-1][1] += 1
+                found[-1][2].add(row)
+            else:
+                found.append([x, 1, {row}])
+        kept = [(round(s / n, 3), len(rows)) for s, n, rows in found if len(rows) >= least_rows]
+        return pd.DataFrame({"page_id": [page.page_id.iloc[0]] * len(kept), "anchor": [k[0] for k in kept], "n_rows": [k[1] for k in kept]})
+
+    return words.groupBy("page_id").applyInPandas(anchors, "page_id string, anchor double, n_rows int")

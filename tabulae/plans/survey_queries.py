@@ -286,7 +286,57 @@ def top_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     return v.join(small(centres), "label").groupBy("label").agg(F.max_by("vec_id", F.struct(F.round(dot, 9), -F.col("vec_id"))).alias("vec_id"))
 
 
-_ALL = (fn_collapse_ws, fn_clean_nbsp, fn_clean_term, fn_token_root, fn_norm_title, fn_truncate, fn_detect_unit_extract, fn_column_label, fn_page_label, fn_slug_id, fn_parse_period, fn_period_signals, fn_looks_numeric, fn_is_period_label, fn_years_in_table, fn_data_cells, fn_pages_overlap, fn_minmax_semantic, fn_rrf_norm, fn_row_digest, agg_metric_ratio, agg_concept_df, join_requirement_column, agg_evidence_dedupe, agg_requirement_coverage, agg_readiness, agg_doc_coverage, join_feasible, join_requirement_text, join_entity_scope, src_scroll, src_by_ids, src_tables_page, src_table_metadata, flt_tenant_text, flt_ownership, flt_valid_citations, snk_delete_scope, snk_attach, snk_orphan, set_obsolete, set_candidates_union, win_fallback_turns, win_attempt_number, sort_document_order, mt_exact_title, mt_contains_phrase, top_nearest_centroid)
+def top_mmr(spark: SparkSession, d: str) -> DataFrame:
+    return R.diverse(read(spark, d, "embeddings"), "label", "vec_id", "embedding", 10)
+
+
+def top_scope_budget(spark: SparkSession, d: str) -> DataFrame:
+    return R.scope_representatives(read(spark, d, "embeddings"), "label", "vec_id", "embedding", 12)
+
+
+def top_select_tables(spark: SparkSession, d: str) -> DataFrame:
+    score = F.when(F.isnan("relevance_score"), 0.0).otherwise(F.coalesce("relevance_score", F.lit(0.0)))
+    rows = read(spark, d, "retrieved_tables").dropDuplicates(["ref_id"]).where("run_id IS NOT NULL").select("run_id", clean_key(F.col("table_id")).alias("table_id"), "document_id", "title", F.col("expected_columns").alias("keys"), "page_start", "page_end", score.alias("score"))
+    return S.select_tables(rows, "run_id", 4)
+
+
+def mt_title_keyword(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([(1, "cash flow statement"), (2, "environmental data"), (3, "2.1 Segment results"), (4, "schedule of borrowings in millions")], "query_id bigint, query string")
+    return S.title_scores(_tables(spark, d), asked)
+
+
+def shp_visual_word_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of tables as boxes on their pages, grouped into visual rows."""
+    from tabulae.operators.tables import visual_rows
+
+    return visual_rows(_boxes(spark, d))
+
+
+def shp_cluster_columns(spark: SparkSession, d: str) -> DataFrame:
+    from tabulae.operators.tables import column_anchors, visual_rows
+
+    boxes = _boxes(spark, d)
+    return column_anchors(boxes.join(visual_rows(boxes), ["page_id", "word_id"]), least_rows=1)
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    boxes = _tables(spark, d).select("document_id", "table_id", F.posexplode("source_fragments").alias("pos", "f")).where("f.bounding_box IS NOT NULL")
+    return boxes.select(F.concat_ws("#", "document_id", F.col("f.page").cast("string")).alias("page_id"), F.concat_ws("#", "table_id", F.col("pos").cast("string")).alias("word_id"), F.col("f.bounding_box")[0].alias("x"), F.col("f.bounding_box")[1].alias("y"))
+
+
+def join_chunk_node(spark: SparkSession, d: str) -> DataFrame:
+    """Records of known nodes; records of unknown ones are counted by ``known`` 0."""
+    nodes = read(spark, d, "structured_tables").select("node_id").where("node_id IS NOT NULL").distinct().withColumn("known", F.lit(1))
+    rows = read(spark, d, "sparse_records").dropDuplicates(["point_id"]).select("point_id", F.col("payload.node_id").alias("node_id"))
+    return rows.join(nodes, "node_id", "left").groupBy(F.coalesce("known", F.lit(0)).alias("known")).agg(F.count("*").alias("n"))
+
+
+def agg_node_metadata(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "sparse_records").where("payload.doc_id <> ''").groupBy(F.col("payload.doc_id").alias("doc_id"))
+    return rows.agg(F.array_join(F.array_sort(F.collect_set("payload.node_id")), ",").alias("nodes"), F.count_distinct("point_id").alias("n"))
+
+
+_ALL = (top_mmr, top_scope_budget, top_select_tables, mt_title_keyword, shp_visual_word_rows, shp_cluster_columns, join_chunk_node, agg_node_metadata, fn_collapse_ws, fn_clean_nbsp, fn_clean_term, fn_token_root, fn_norm_title, fn_truncate, fn_detect_unit_extract, fn_column_label, fn_page_label, fn_slug_id, fn_parse_period, fn_period_signals, fn_looks_numeric, fn_is_period_label, fn_years_in_table, fn_data_cells, fn_pages_overlap, fn_minmax_semantic, fn_rrf_norm, fn_row_digest, agg_metric_ratio, agg_concept_df, join_requirement_column, agg_evidence_dedupe, agg_requirement_coverage, agg_readiness, agg_doc_coverage, join_feasible, join_requirement_text, join_entity_scope, src_scroll, src_by_ids, src_tables_page, src_table_metadata, flt_tenant_text, flt_ownership, flt_valid_citations, snk_delete_scope, snk_attach, snk_orphan, set_obsolete, set_candidates_union, win_fallback_turns, win_attempt_number, sort_document_order, mt_exact_title, mt_contains_phrase, top_nearest_centroid)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
@@ -299,6 +349,8 @@ turns AS (SELECT chat_id, turn, m.role AS role, m.content AS content FROM (SELEC
 _HEAD = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '^\s*\d+(?:\.\d+)*[.)]?\s+', ''), '\b(?:chapter|section|part|unit|lesson|module|appendix|figure|table|the|a|an|of|and|in|on|for|to|introduction|overview)\b', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 SQL = {
+    "join_chunk_node": "WITH o AS (SELECT DISTINCT ON (point_id) point_id, payload.node_id AS node_id FROM sparse_records) SELECT CAST(CASE WHEN node_id IN (SELECT node_id FROM structured_tables WHERE node_id IS NOT NULL) THEN 1 ELSE 0 END AS INTEGER) AS known, count(*) AS n FROM o GROUP BY 1",
+    "agg_node_metadata": "SELECT payload.doc_id AS doc_id, coalesce(string_agg(DISTINCT payload.node_id, ',' ORDER BY payload.node_id), '') AS nodes, count(DISTINCT point_id) AS n FROM sparse_records WHERE payload.doc_id <> '' GROUP BY 1",
     "fn_collapse_ws": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), ' ')) AS digest FROM documents WHERE text IS NOT NULL",
     "fn_token_root": f"WITH {_C}, k AS (SELECT DISTINCT unnest(regexp_extract_all(label, '[A-Za-z]+')) AS token FROM cols) SELECT token, CASE WHEN length(token) > 4 AND lower(token) LIKE '%ies' THEN regexp_replace(lower(token), 'ies$', 'y') WHEN length(token) > 4 AND lower(token) LIKE '%s' AND lower(token) NOT LIKE '%ss' THEN regexp_replace(lower(token), 's$', '') ELSE lower(token) END AS root FROM k",
     "fn_norm_title": f"WITH {_T}, k AS (SELECT DISTINCT title FROM tabs) SELECT title, {_HEAD} AS normal FROM k",
