@@ -177,4 +177,18 @@ u AS (SELECT label, CASE WHEN contains(s, '%') OR regexp_matches(s, '(?i)\bperce
  CASE WHEN regexp_matches(s, '(?i)₹|\binr\b') THEN 'INR' WHEN regexp_matches(s, '(?i)\$|\busd\b') THEN 'USD' WHEN regexp_matches(s, '(?i)€|\beur\b') THEN 'EUR' WHEN regexp_matches(s, '(?i)£|\bgbp\b') THEN 'GBP' END,
  CASE WHEN regexp_matches(s, '(?i)\b(?:billion|billions|bn)\b') THEN 'billion' WHEN regexp_matches(s, '(?i)\b(?:million|millions|mn)\b') THEN 'million' WHEN regexp_matches(s, '(?i)\b(?:thousand|thousands|k)\b') THEN 'thousand' WHEN regexp_matches(s, '(?i)\b(?:crore|crores)\b') THEN 'crore' WHEN regexp_matches(s, '(?i)\b(?:lakh|lakhs)\b') THEN 'lakh' END), '') END AS unit FROM l)
 SELECT label, unit, count(*) AS n FROM u GROUP BY 1, 2""",
+    "fn_observe_value": rf"""WITH {CELLS}, {_NUMBER}, {_KIND}
+SELECT table_id, row_no, col_no, kind, CASE WHEN kind IS NOT NULL THEN lower(tt) END AS canonical, CASE WHEN kind IN ('integer', 'number') THEN num END AS number,
+CASE WHEN kind = 'calendar_year' THEN tt WHEN kind = 'fiscal_period' AND regexp_matches(tt, '(?i)^(?:fy|fiscal)') THEN 'FY' || CASE WHEN length(regexp_extract(tt, '(\d+)$')) = 2 THEN '20' ELSE '' END || regexp_extract(tt, '(\d+)$') WHEN kind = 'fiscal_period' THEN regexp_extract(tt, '^\d{{4}}') || '-' || right(tt, 2) WHEN kind = 'quarter' THEN regexp_extract(tt, '(\d{{4}})') || ' Q' || regexp_extract(tt, '(?i)q([1-4])', 1) END AS period FROM kinds""",
+    "agg_string_stats": rf"""WITH {CELLS}, {_NUMBER}, {_KIND}, s AS (SELECT *, lower(tt) AS canonical FROM kinds WHERE kind = 'string'),
+f AS (SELECT table_id, col_no, canonical, count(*) AS n, arg_min(tt, row_no) AS display FROM s GROUP BY 1, 2, 3), best AS (SELECT *, row_number() OVER (PARTITION BY table_id, col_no ORDER BY n DESC, canonical) AS p FROM f),
+g AS (SELECT table_id, col_no, count(*) AS n_strings, round(avg(length(tt)), 6) AS mean_length, count(*) FILTER (WHERE canonical = lower(trim(label))) AS header_cells, count(*) FILTER (WHERE regexp_matches(tt, '{P.TOTAL}')) AS total_cells, count(*) FILTER (WHERE regexp_matches(tt, '{P.FOOTNOTE}')) AS footnote_cells FROM s GROUP BY 1, 2)
+SELECT g.table_id, g.col_no, n_strings, mean_length, display AS top_value, n AS top_count, header_cells, total_cells, footnote_cells FROM g JOIN best b ON g.table_id = b.table_id AND g.col_no = b.col_no AND b.p = 1""",
+    "agg_row_features": rf"""WITH {CELLS}, c AS (SELECT *, NOT {_MISS} AS present, trim(raw) AS tt FROM cells),
+per AS (SELECT table_id, row_no, count(*) FILTER (WHERE present) AS p, count(*) FILTER (WHERE present AND lower(tt) IN (lower(trim(key)), lower(trim(label)))) AS h, coalesce(bool_or(present AND regexp_matches(tt, '{P.TOTAL}')), false) AS total, coalesce(bool_or(present AND regexp_matches(tt, '{P.FOOTNOTE}')), false) AS foot, list(coalesce(raw, chr(0)) ORDER BY col_no) AS vals FROM c GROUP BY 1, 2)
+SELECT table_id, count(*) AS n_rows, count(*) - count(DISTINCT vals) AS duplicates, count(*) FILTER (WHERE p >= 2 AND h / p >= 0.6) AS headers, count(*) FILTER (WHERE total) AS totals, count(*) FILTER (WHERE foot) AS footnotes FROM per GROUP BY 1""",
+    "agg_time_stats": rf"""WITH {CELLS}, {_NUMBER}, {_KIND}, p AS (SELECT table_id, col_no, row_no, CAST(regexp_extract(tt, '(\d{{4}})') AS INTEGER) AS y, CASE WHEN kind = 'calendar_year' THEN 'calendar_year' ELSE 'fiscal_year' END AS f FROM kinds WHERE kind IN ('calendar_year', 'fiscal_period')),
+g AS (SELECT table_id, col_no, string_agg(DISTINCT f, ',' ORDER BY f) AS formats, min(y) AS a, max(y) AS b, list(DISTINCT y) AS seen FROM p GROUP BY 1, 2)
+SELECT table_id, col_no, formats, CASE WHEN formats = 'fiscal_year' THEN 'FY' ELSE '' END || a AS first_period, CASE WHEN formats = 'fiscal_year' THEN 'FY' ELSE '' END || b AS last_period,
+CASE WHEN contains(formats, ',') OR b - a > 120 THEN '' ELSE array_to_string(list_transform(list_filter(range(a, b + 1), lambda x: NOT list_contains(seen, CAST(x AS INTEGER))), lambda x: CASE WHEN formats = 'fiscal_year' THEN 'FY' ELSE '' END || x), ',') END AS missing FROM g""",
 }
