@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.session import checkpoint
+from tabulae.session import checkpoint, salted_join
 
 # Letters of other scripts and the Latin letters that they look like.
 LOOKALIKES = {
@@ -121,7 +121,7 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cut = checkpoint(cut)
     spread = cut.select("id", F.posexplode("parts").alias("pos", "stretch"))
     forms = canonical_stretches(spread.select("stretch").distinct())
-    put = spread.join(forms, "stretch").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("forms"))
+    put = salted_join(spread, forms, ["stretch"], F.col("id"), "inner", 8).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("forms"))
     whole = cut.join(put, "id").select("id", F.array_join(F.flatten(F.zip_with("between", "forms", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "").alias("form"))
     made = odd.join(whole, "id").select("key", "text", "form")
     return plain.unionByName(made).withColumnRenamed("key", key)
