@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulae.session import numbered
+
 #: Weight of relevance against novelty.
 LAMBDA = 0.65
 
@@ -36,9 +38,8 @@ def even_place(index, length, limit: int):
 
 
 def evenly_spaced(rows: DataFrame, by: str, order: str, limit: int) -> DataFrame:
-    w = W.partitionBy(by)
-    placed = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1)
-    return placed.where(even_place(F.col("_i"), F.col("_n"), limit)).drop("_n", "_i")
+    placed = numbered(rows, [by], [F.asc(order)], "_i", "_n")
+    return placed.where(even_place(F.col("_i") - 1, F.col("_n"), limit)).drop("_n", "_i")
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from tabulae.operators import hydration as H
 from tabulae.operators import outline as O
 from tabulae.operators import representatives as R
 from tabulae.operators import retrieval as S
-from tabulae.session import read
+from tabulae.session import numbered, read
 
 QUESTIONS = [(1, "customer retention and employee turnover"), (2, "greenhouse emissions across all reporting entities"), (3, "dépenses d'investissement du groupe"), (4, "restructuring provision under the revised methodology")]
 PHRASES = ["customer retention", "greenhouse emissions", "restructuring provision", "capital expenditure"]
@@ -131,7 +131,8 @@ def agg_contributions(spark: SparkSession, d: str) -> DataFrame:
 def win_chunk_index(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "sparse_records").dropDuplicates(["point_id"]).select("point_id", F.col("payload.doc_id").alias("doc"), F.col("payload.node_id").alias("node"), F.col("payload.page_number").alias("page"))
     order = [F.asc_nulls_last("page"), F.asc("point_id")]
-    return rows.select("point_id", (F.row_number().over(W.partitionBy("doc", "node").orderBy(*order)) - 1).alias("node_index"), (F.row_number().over(W.partitionBy("doc").orderBy(*order)) - 1).alias("doc_index"))
+    both = numbered(numbered(rows, ["doc", "node"], order, "node_index"), ["doc"], order, "doc_index")
+    return both.select("point_id", (F.col("node_index") - 1).alias("node_index"), (F.col("doc_index") - 1).alias("doc_index"))
 
 
 def fn_chunk_text(spark: SparkSession, d: str) -> DataFrame:
@@ -273,8 +274,8 @@ def win_even_spacing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_group_chunks(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return read(spark, d, "embeddings").select("label", "vec_id", F.floor(place / 20).cast("int").alias("group_no"))
+    rows = numbered(read(spark, d, "embeddings").select("label", "vec_id"), ["label"], [F.asc("vec_id")], "place")
+    return rows.select("label", "vec_id", F.floor((F.col("place") - 1) / 20).cast("int").alias("group_no"))
 
 
 def top_representatives(spark: SparkSession, d: str) -> DataFrame:

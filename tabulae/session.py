@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows up to which a side that is small by nature (limits, targets, queries) is broadcast.
@@ -45,3 +46,24 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     """
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """``df`` with ``name``, the position (from 1) of each row in its group by ``order``, and, if asked, ``size``, the group's rows.
+
+    Rows are cut into ranges of the groups and the order, numbered within each range, and shifted by
+    the rows of the ranges before, which are one row a range; no task sorts a whole group. ``order``
+    must tell all rows of a group apart for the numbers to be the same on every run.
+    """
+    keys = [F.col(c) for c in by]
+    ranged = checkpoint(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("__range"), before.alias("_before"), F.sum("_n").over(w).alias("_all"))
+    inside = ranged.withColumn(name, F.row_number().over(W.partitionBy("_range", *by).orderBy(*order)))
+    same = F.col("_range") == F.col("__range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    extra = [] if size is None else [F.col("_all").alias(size)]
+    return inside.join(counts, same).select(*df.columns, (F.col(name) + F.col("_before")).cast("int").alias(name), *extra)

@@ -135,3 +135,18 @@ def test_table_shapes(spark):
     assert df.select(T.rectangular(F.col("m"))).collect()[0][0] == [["a", "b"], ["c", ""]]
     parts = spark.createDataFrame([("d", "f1", 1, "Region Value", 2), ("d", "f2", 2, "Region Values", 2), ("d", "f3", 4, "Region Value", 2)], "document_id string, fragment_id string, page int, header string, n_columns int")
     assert {r.fragment_id: r.chain for r in T.continued_fragments(parts).collect()} == {"f1": "f1", "f2": "f1", "f3": "f3"}
+
+
+def test_numbered(spark):
+    from tabulae.session import numbered
+
+    rows = [("hot" if i % 3 else f"g{i % 7}", i * 37 % 1000, None if i % 5 else i) for i in range(1000)] + [(None, i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, k int, x int").repartition(6)
+    got = numbered(df, ["g"], [F.desc("k")], "place", "n").collect()
+    want = {}
+    for g, k, _ in rows:
+        want.setdefault(g, []).append(k)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n == len(want[r.g]) and sorted(want[r.g], reverse=True)[r.place - 1] == r.k
+    assert numbered(df.limit(0), ["g"], [F.desc("k")], "place").count() == 0
