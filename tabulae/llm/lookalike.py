@@ -112,7 +112,8 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stretch is treated once.
     """
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    hit = F.col("text").rlike(f"[^{STABLE}]")
+    # as many bytes as characters: all ASCII, which needs no pattern
+    hit = F.when(F.octet_length("text") == F.char_length("text"), False).otherwise(F.col("text").rlike(f"[^{STABLE}]"))
     plain = base.where(F.col("text").isNull() | ~hit).select("key", "text", F.col("text").alias("form"))
     odd = base.where(hit).withColumn("id", F.sha2("text", 256))
     cut = odd.groupBy("id").agg(F.first("text").alias("text"))
