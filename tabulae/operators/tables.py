@@ -47,7 +47,7 @@ def box_overlap(a: Column, b: Column) -> Column:
     w = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
     h = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     least = F.least((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return F.when(least > 0, F.coalesce(w * h / least, F.lit(0.0))).otherwise(0.0)
+    return F.when(a.isNull() | b.isNull() | (F.size(a) < 4) | (F.size(b) < 4), 0.0).when(least > 0, w * h / least).otherwise(0.0)
 
 
 def region_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ _SCORED = r"""i AS (SELECT doc_id, coalesce(lang, '') AS lang, regexp_extract(te
 s AS (SELECT i.*, user_id, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' END AS o FROM i JOIN events ON doc_id = event_id WHERE correct <> ''),
 z AS (SELECT *, CASE WHEN o = correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN o IS NULL THEN 'skipped' WHEN o = correct THEN 'correct' ELSE 'incorrect' END AS status FROM s)"""
 _LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY updated_at DESC NULLS LAST, title DESC) AS n_ FROM structured_tables) WHERE n_ = 1)"
-_BOX = "CASE WHEN least((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2])) > 0 THEN greatest(0, least(a[3], b[3]) - greatest(a[1], b[1])) * greatest(0, least(a[4], b[4]) - greatest(a[2], b[2])) / least((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2])) ELSE 0 END"
+_BOX = "CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN least((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2])) > 0 THEN greatest(0, least(a[3], b[3]) - greatest(a[1], b[1])) * greatest(0, least(a[4], b[4]) - greatest(a[2], b[2])) / least((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2])) ELSE 0 END"
 
 SQL = {
     "fn_unique_keys": """WITH o AS (SELECT DISTINCT ON (dataset_id) dataset_id, columns FROM hydrated_datasets), k AS (SELECT dataset_id, CAST(generate_subscripts(columns, 1) - 1 AS INTEGER) AS pos, unnest(columns).type AS base FROM o),
