@@ -13,8 +13,9 @@ from tabulae.operators import profile as P
 from tabulae.operators import retrieval as S
 from tabulae.operators.hydration import hydrated, latest
 from tabulae.operators.orphans import clean_key
+from tabulae.operators.representatives import evenly_spaced
 from tabulae.operators.tables import sequence_ratio
-from tabulae.session import read, small
+from tabulae.session import numbered, read, small
 
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +228,27 @@ def snk_nodes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "structured_tables").select("node_id").where("node_id IS NOT NULL").distinct().join(have, "node_id", "left_anti")
 
 
-_ALL = (src_worker, src_scroll_limited, src_find_tables, flt_doc, flt_node_scope, prj_text_hit, prj_table_hit, prj_retrieval_result, prj_playable, prj_chunk_vector, flt_table_substantive, flt_compatible_type, flt_filter_conflict, join_profile_ctx, join_submission, join_word_in_table, agg_artifact_counts, agg_merge_entries, agg_summary_metrics, set_missing_docs, fn_raw_tokens, fn_canonical_value, fn_header_flags, fn_det_summary, fn_parse_scalar, fn_bbox_flip, fn_source_version, mt_units, mt_numbered_parts, mt_seq_ratio, mt_value_sim, fn_score_table, snk_vector_collection, snk_nodes)
+def agg_tree_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations and customers as a tree: leaves and balance below each node, partial sums before the shuffle."""
+    n, c = small(read(spark, d, "nation")), read(spark, d, "customer")
+    leaves = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.explode(F.array(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))).alias("node_id"), F.col("c_acctbal").cast("decimal(18,2)").alias("v"))
+    return leaves.groupBy("node_id").agg(F.count("*").alias("leaves"), F.sum("v").cast("double").alias("balance"))
+
+
+def agg_map_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each document in groups of 20 in document order, each group reduced to its counts."""
+    rows = read(spark, d, "sparse_records").dropDuplicates(["point_id"]).select("point_id", F.coalesce("payload.doc_id", F.lit("")).alias("doc"), F.col("payload.page_number").alias("page"), F.char_length(F.coalesce("text", F.lit(""))).alias("size"))
+    placed = numbered(rows, ["doc"], [F.asc_nulls_last("page"), F.asc("point_id")], "place")
+    return placed.groupBy("doc", F.floor((F.col("place") - 1) / 20).cast("int").alias("group_no")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("point_id").alias("first_id"))
+
+
+def prj_sources(spark: SparkSession, d: str) -> DataFrame:
+    """At most 8 evenly spaced records of each document as its sources."""
+    rows = read(spark, d, "sparse_records").dropDuplicates(["point_id"]).where("payload.doc_id <> ''").select(F.col("payload.doc_id").alias("doc"), "point_id")
+    return evenly_spaced(rows, "doc", "point_id", 8)
+
+
+_ALL = (agg_tree_reduce, agg_map_reduce, prj_sources, src_worker, src_scroll_limited, src_find_tables, flt_doc, flt_node_scope, prj_text_hit, prj_table_hit, prj_retrieval_result, prj_playable, prj_chunk_vector, flt_table_substantive, flt_compatible_type, flt_filter_conflict, join_profile_ctx, join_submission, join_word_in_table, agg_artifact_counts, agg_merge_entries, agg_summary_metrics, set_missing_docs, fn_raw_tokens, fn_canonical_value, fn_header_flags, fn_det_summary, fn_parse_scalar, fn_bbox_flip, fn_source_version, mt_units, mt_numbered_parts, mt_seq_ratio, mt_value_sim, fn_score_table, snk_vector_collection, snk_nodes)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
@@ -238,6 +259,9 @@ _R = "refs AS (SELECT DISTINCT ON (ref_id) * FROM retrieved_tables)"
 _SCORE = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0.0::DOUBLE ELSE {0} END"
 
 SQL = {
+    "agg_tree_reduce": "WITH l AS (SELECT 'n' || n_nationkey AS node_id, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'r' || n_regionkey, CAST(c_acctbal AS DECIMAL(18,2)) FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT node_id, count(*) AS leaves, CAST(sum(v) AS DOUBLE) AS balance FROM l GROUP BY 1",
+    "agg_map_reduce": "WITH o AS (SELECT DISTINCT ON (point_id) point_id, coalesce(payload.doc_id, '') AS doc, payload.page_number AS page, length(coalesce(text, '')) AS size FROM sparse_records), p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page NULLS LAST, point_id) AS place FROM o) SELECT doc, CAST(floor((place - 1) / 20) AS INTEGER) AS group_no, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, min(point_id) AS first_id FROM p GROUP BY 1, 2",
+    "prj_sources": "WITH o AS (SELECT DISTINCT ON (point_id) point_id, payload.doc_id AS doc FROM sparse_records WHERE payload.doc_id <> ''), i AS (SELECT doc, point_id, row_number() OVER (PARTITION BY doc ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY doc) AS n FROM o) SELECT doc, point_id FROM i WHERE n <= 8 OR i IN (SELECT round_even((n - 1) * o / 7, 0) FROM range(8) t(o))",
     "src_worker": "SELECT table_id, title, page_start, page_end, CAST(len(rows) AS INTEGER) AS n_rows, count(*) AS deliveries FROM structured_tables GROUP BY 1, 2, 3, 4, 5",
     "src_scroll_limited": "SELECT DISTINCT point_id, collection FROM sparse_records ORDER BY point_id, collection LIMIT 50",
     "src_find_tables": f"WITH {_T} SELECT table_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY source_fragments[1].page NULLS FIRST, source_fragments[1].bounding_box[2] NULLS FIRST, table_id) AS INTEGER) AS place FROM tabs WHERE len(rows) >= 2 AND len(columns) >= 2",
