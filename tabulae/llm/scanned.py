@@ -149,24 +149,32 @@ def lines_of(rows: DataFrame) -> DataFrame:
     dressed_number = F.col("line").rlike(_NUMBER_LINE)
     bare = F.col("line").rlike(r"^\d{1,5}$")
     is_page = F.when(brief & (dressed_number | bare), F.coalesce(number == expected, dressed_number | ~block)).otherwise(False)
-    base = base.withColumn("is_page", is_page)
+    base = base.withColumn("expected", expected).withColumn("is_page", is_page)
     digit_at = lambda at: F.substring("line", at, 1).between("0", "9")
     core = F.when(digit_at(1) | digit_at(-1), F.regexp_replace("line", _DRESS, "")).otherwise(F.col("line"))
     header_like = F.col("short") & ~F.col("is_page") & (F.char_length("line") >= 3) & ~F.substring("line", -1, 1).isin(*HYPHEN) & F.col("line").rlike(r"\p{L}.*\p{L}")
     base = base.withColumn("core", F.when(header_like, core))
     masked = F.when(F.col("core").rlike("[0-9]"), F.regexp_replace("core", _MASK, "#")).otherwise(F.col("core"))
     key = F.btrim(F.regexp_replace(skeleton(masked), r"[^\p{L}\p{N}#]+", " "))
-    base = base.withColumn("dressed", F.col("core") != F.col("line")).withColumn("core", F.when(F.col("core").isNotNull(), key))
+    base = base.withColumn("dressed", F.col("core") != F.col("line"))
+    # a page number that is the row's own, or capitals throughout, tell a header at its first occurrence
+    dress_number = F.coalesce(F.nullif(F.regexp_extract("line", r"^(\d{1,5})\s*\|", 1), F.lit("")), F.regexp_extract("line", r"(\d{1,5})$", 1)).try_cast("int")
+    shouted = (F.char_length("core") >= 10) & F.col("core").contains(" ") & (F.upper("core") == F.col("core"))
+    base = base.withColumn("strong", F.when(F.col("dressed") & F.coalesce(dress_number == F.col("expected"), F.lit(False)), True).otherwise(shouted))
+    base = base.withColumn("core", F.when(F.col("core").isNotNull(), key)).drop("expected")
     parts = F.filter(F.split("core", " "), lambda t: (t != "#") & (t != ""))
     titled = (F.size(parts) >= 3) & (F.size(F.array_except(parts, _name_tokens(F.col("name")))) == 0)
     return base.withColumn("titled", F.coalesce(titled, F.lit(False)))
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    """``lines_of`` with ``role``: headers are lines that say the document's name, or whose masked skeleton carries a page number in a tenth of its occurrences or more."""
+    """``lines_of`` with ``role``: headers are lines that say the document's name, or whose masked skeleton carries a page number or stands in capitals in a tenth of its occurrences or more."""
     lines = checkpoint(lines_of(rows))
-    stats = lines.where("core IS NOT NULL AND core <> ''").groupBy("core").agg(F.count("*").alias("n"), F.count_if("dressed").alias("n_dressed"))
-    known = stats.where((F.col("n_dressed") >= 2) & (F.col("n_dressed") >= DRESSED * F.col("n"))).select("core", F.lit(True).alias("running"))
+    stats = lines.where("core IS NOT NULL AND core <> ''").groupBy("core").agg(F.count("*").alias("n"), F.count_if(F.col("dressed") | F.col("strong")).alias("n_dressed"), F.count_if("strong").alias("n_strong"))
+    known = stats.where(((F.col("n_strong") >= 1) | (F.col("n_dressed") >= 2)) & (F.col("n_dressed") >= DRESSED * F.col("n"))).select("core", F.lit(True).alias("running"))
+    # titles of numbered sections, which running headers repeat without their numbers
+    sections = lines.where(F.col("line").rlike(r"^\d{1,2}\.\d{1,2} \p{Lu}[^.]* [^.]*$") & F.col("core").startswith("# # ")).select(F.regexp_replace("core", "^# # ", "").alias("core"), F.lit(True).alias("running"))
+    known = known.unionByName(sections).distinct()
     loose = lines.where("core IS NOT NULL AND NOT titled")
     judged = salted_join(loose, known, ["core"], F.col("ref_id")).unionByName(lines.where("core IS NULL OR titled").withColumn("running", F.lit(False)))
     role = F.when(F.col("line") == "", "blank").when(F.col("is_page"), "page_number").when(F.col("titled") | F.coalesce("running", F.lit(False)), "header").otherwise("text")
