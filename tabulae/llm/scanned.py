@@ -24,8 +24,9 @@ from tabulae.session import checkpoint, salted_join
 # What a glyph is misread as; in words and in numbers.
 CONFUSIONS = (("o", "0"), ("e", "c"), ("i", "l"), ("i", "1"), ("l", "1"), ("n", "ri"), ("t", "f"), ("a", "o"), ("s", "5"), ("d", "cl"), ("u", "ii"), ("g", "q"), ("m", "rn"), ("h", "b"), ("b", "6"), ("é", "6"), ("li", "h"), ("w", "vv"), ("y", "v"), ("g", "9"), ("z", "2"), ("b", "8"))
 DIGITS_READ = {"Z": "2", "S": "5", "B": "8", "b": "6", "g": "9", "l": "1", "O": "0"}
-#: One glyph for each set of confusable ones.
-SAME = {"a": "o", "0": "o", "e": "c", "l": "i", "1": "i", "f": "t", "y": "v", "q": "g", "9": "g", "5": "s", "2": "z", "b": "h", "6": "h", "8": "h", "é": "h"}
+#: One glyph for each set of confusable single ones, and what glyphs that are confused with pairs are read as.
+SAME = {"a": "o", "0": "o", "e": "c", "l": "i", "1": "i", "f": "t", "y": "v", "q": "g", "9": "g", "5": "s", "2": "z", "b": "h", "6": "h", "8": "h", "é": "h", "u": "h"}
+PAIRS = (("m", "rri"), ("n", "ri"), ("d", "ci"), ("h", "ii"), ("w", "vv"))
 #: A form counts as misread if a form of its group is so many times as frequent, and that one occurs so often.
 RATIO, LEAST = 10, 5
 #: Short words look like each other by chance: the ratio for words of up to 3 and of 4 characters.
@@ -42,11 +43,11 @@ WORD = re.compile("[^\\W_]+(?:[-\u2010\u2011][^\\W_]+)*")
 
 
 def skeleton(word: Column) -> Column:
-    """The word in lower case with each set of confusable glyphs as one."""
+    """The word in lower case with each set of confusable glyphs as one, glyph by glyph, so that both sides of a confusion come out the same whatever stands beside it."""
     s = F.translate(F.lower(word), "".join(SAME), "".join(SAME.values()))
-    for many, one in (("ri", "n"), ("rn", "m"), ("ci", "d"), ("vv", "w"), ("ii", "u")):
-        s = F.replace(s, F.lit(many), F.lit(one))
-    return F.translate(s, "u", "h")
+    for one, many in PAIRS:
+        s = F.replace(s, F.lit(one), F.lit(many))
+    return s
 
 
 def explained(word: str, form: str, edits: int = 2) -> bool:

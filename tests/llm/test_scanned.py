@@ -1,6 +1,8 @@
 import pytest
 
-from tabulae.llm.scanned import corrections, explained, noisy_lines, paragraphs
+from pyspark.sql import functions as F
+
+from tabulae.llm.scanned import CONFUSIONS, corrections, explained, noisy_lines, paragraphs, skeleton
 
 SCHEMA = "ref_id bigint, document_name string, page_number int, text string, line string, core string, broken int"
 PLAIN = "The pension scheme reported the consolidated revenue and non-current assets within the approved tolerance. The programme continued."
@@ -49,3 +51,17 @@ def test_explained(word, form, want):
 def test_corrections_need_frequent_forms(spark):
     words = spark.createDataFrame([("percent", 500), ("percenf", 3), ("farm", 90), ("form", 80), ("rn", 900), ("m", 1), ("тест", 5)], "word string, n bigint")
     assert [(r.word, r.form) for r in corrections(words).collect()] == [("percenf", "percent")]
+
+
+def test_confusions_beside_confusable_glyphs(spark):
+    right = ["liability", "volume", "delivered", "procurement", "filial"]
+    misread = ["liabihty", "voliime", "dehvered", "prociirement", "fihal"]
+    words = spark.createDataFrame([(w, 400) for w in right] + [(w, 2) for w in misread], "word string, n bigint")
+    assert {r.word: r.form for r in corrections(words).collect()} == dict(zip(misread, right))
+
+
+def test_skeleton_is_the_same_whatever_stands_beside_a_confusion(spark):
+    beside = ["", *"abcdehilmnoruvw"]
+    pairs = [(a + t + b, a + r + b) for t, r in CONFUSIONS for a in beside for b in beside]
+    rows = spark.createDataFrame(pairs, "t string, r string")
+    assert rows.where(skeleton(F.col("t")) != skeleton(F.col("r"))).count() == 0
