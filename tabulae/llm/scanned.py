@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.session import checkpoint, salted_join
+from tabulae.session import checkpoint, salted_join, small
 
 # What a glyph is misread as; in words and in numbers.
 CONFUSIONS = (("o", "0"), ("e", "c"), ("i", "l"), ("i", "1"), ("l", "1"), ("n", "ri"), ("t", "f"), ("a", "o"), ("s", "5"), ("d", "cl"), ("u", "ii"), ("g", "q"), ("m", "rn"), ("h", "b"), ("b", "6"), ("é", "6"), ("li", "h"), ("w", "vv"), ("y", "v"), ("g", "9"), ("z", "2"), ("b", "8"))
@@ -120,23 +120,45 @@ _NUMBER_LINE = r"(?i)^(?:(?:page|seite|p[áa]gina|p[áa]g\.?|p\.|s\.)\s*\d{1,5}(
 _DRESS = r"^\d{1,5}\s*\|\s*|\s+[–—-]\s*\d{1,5}$|\s{2,}\d{1,5}$|\s*\|\s*\d{1,5}$"
 _MASK = r"(?<![\p{L}\p{N}])[0-9OlZSBbg]*[0-9][0-9OlZSBbg]*(?![\p{L}\p{N}])"
 _BROKEN = r"[\p{L}\p{N},)%][ \t]*\r?\n\s*[\p{Ll}\p{N}(]|\p{L}[" + HYPHEN + r"][ \t]*\r?\n"
+#: A break before a capital, and what tells a page's wrapped lines from headings, lists and codes: its greatest width and a wrapped line's least.
+_CAPITAL = r"[\p{L}\p{N},)%][ \t]*\r?\n\s*\p{Lu}"
+WIDEST, WRAPPED = 150, 30
+
+
+def _wrapped(text: Column) -> Column:
+    """Whether a line of the text breaks without a stop before a capital where the next word would not have fitted in the width of its lines."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_STRIP)))
+    page = F.array(F.struct(lines.alias("lines"), F.array_max(F.transform(lines, F.char_length)).alias("width")))
+
+    def breaks(width: Column):
+        long = lambda a, b: F.char_length(a) + 1 + F.char_length(F.substring_index(b, " ", 1)) > width
+        return lambda a, b: F.coalesce((F.char_length(a) >= WRAPPED) & a.contains(" ") & b.rlike(r"^\p{Lu}") & a.rlike(r"[\p{L}\p{N},)%]$") & long(a, b), F.lit(False))
+
+    each = F.exists(page, lambda p: (p["width"] <= WIDEST) & F.exists(F.zip_with(p["lines"], F.slice(p["lines"], 2, F.greatest(F.size(p["lines"]), F.lit(1))), breaks(p["width"])), lambda x: x))
+    return text.rlike(_CAPITAL) & ~text.rlike(r"[^\n]{" + str(WIDEST + 5) + "}") & each
 
 
 def _name_tokens(name: Column) -> Column:
     return F.split(skeleton(F.regexp_replace(F.regexp_replace(F.lower(name), r"\.[a-z]{2,4}$", ""), _MASK, "#")), r"[^\p{L}\p{N}#]+")
 
 
+def _split(rows: DataFrame, broken: Column) -> DataFrame:
+    """The lines of the rows with ``broken`` of their whole text, and whether they are ``short``: as long as a header may be and without a stop."""
+    # the test of the whole text stays below the explosion to lines, so it runs once a row
+    base = rows.where("ref_id IS NOT NULL AND text IS NOT NULL").select("ref_id", "document_name", "page_number", "text", broken.alias("broken"))
+    base = base.select("ref_id", "document_name", "page_number", "broken", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    base = base.withColumn("line", F.btrim("raw", F.lit(_STRIP)))
+    last = F.substring("line", -1, 1)
+    return base.withColumn("short", (F.char_length("line") <= 90) & ~last.isin(*".!?;:,|"))
+
+
 def lines_of(rows: DataFrame) -> DataFrame:
     """The lines of rows of scanned pages and the short lines of others, with ``role``: ``page_number``, ``header``, ``blank`` or ``text``.
 
     ``rows``: ``ref_id``, ``document_name``, ``page_number``, ``text``. A repeated row gives its lines once.
     """
-    # the test of the whole text stays below the explosion to lines, so it runs once a row
-    base = rows.where("ref_id IS NOT NULL AND text IS NOT NULL").select("ref_id", "document_name", "page_number", "text", (F.col("text").contains("\n") & F.col("text").rlike(_BROKEN)).alias("broken"))
-    base = base.select("ref_id", "document_name", "page_number", "broken", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    base = base.withColumn("line", F.btrim("raw", F.lit(_STRIP)))
-    last = F.substring("line", -1, 1)
-    base = base.withColumn("short", (F.char_length("line") <= 90) & ~last.isin(*".!?;:,|"))
+    text = F.col("text")
+    base = _split(rows, text.contains("\n") & F.when(text.rlike(_BROKEN), True).otherwise(_wrapped(text)))
     base = base.where(F.col("broken") | F.col("short"))
     feeds = F.char_length("raw") - F.char_length(F.replace("raw", F.lit("\f"), F.lit("")))
     base = base.select("ref_id", (F.col("pos") + 1).alias("line_no"), "broken", "line", "short", feeds.alias("feeds"), "page_number", F.when(F.col("short"), F.col("document_name")).alias("name"))
@@ -179,7 +201,18 @@ def classified(rows: DataFrame) -> DataFrame:
     loose = lines.where("core IS NOT NULL AND NOT titled")
     judged = salted_join(loose, known, ["core"], F.col("ref_id")).unionByName(lines.where("core IS NULL OR titled").withColumn("running", F.lit(False)))
     role = F.when(F.col("line") == "", "blank").when(F.col("is_page"), "page_number").when(F.col("titled") | F.coalesce("running", F.lit(False)), "header").otherwise("text")
-    return judged.select("ref_id", "line_no", "line", "broken", role.alias("role"))
+    # furniture that carries a page number or says the document's name; titles of sections also stand above lists
+    own = F.col("is_page") | F.col("titled") | (F.coalesce("running", F.lit(False)) & (F.col("dressed") | F.coalesce("strong", F.lit(False))))
+    return judged.select("ref_id", "line_no", "line", "broken", role.alias("role"), F.coalesce(own, F.lit(False)).alias("furnished"))
+
+
+def with_furnished(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``classified`` lines where rows with furniture count as ``broken`` also if no break tells them, with the lines that ``lines_of`` left out of these."""
+    found = small(checkpoint(lines.where("furnished AND NOT broken").select("ref_id").distinct()).withColumn("known", F.lit(True)))
+    left = _split(rows.join(found.select("ref_id"), "ref_id", "left_semi"), F.lit(True)).where("NOT short")
+    left = checkpoint(left.select("ref_id", (F.col("pos") + 1).alias("line_no"), "line", "broken", F.lit("text").alias("role")).dropDuplicates(["ref_id", "line_no"]))
+    marked = lines.join(found, "ref_id", "left").select("ref_id", "line_no", "line", (F.col("broken") | F.coalesce("known", F.lit(False))).alias("broken"), "role")
+    return marked.unionByName(left)
 
 
 def _joints(lines: DataFrame) -> DataFrame:
@@ -198,7 +231,7 @@ def noise(rows: DataFrame) -> dict[str, DataFrame]:
     """The classified ``lines`` of the rows, their ``joints`` with the decision ``cut``, and ``misread`` tokens with what they should be."""
     # materialised once each: the lexicon, the lines and the corrections are read several times
     words = checkpoint(lexicon(rows))
-    lines = checkpoint(classified(rows))
+    lines = with_furnished(rows, checkpoint(classified(rows)))
     ends = _joints(lines)
     counts = words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     pairs = words.where(F.col("word").contains("-")).select(F.col("word").alias("pair"), F.col("n").alias("n_pair"))

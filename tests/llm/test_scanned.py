@@ -65,3 +65,16 @@ def test_skeleton_is_the_same_whatever_stands_beside_a_confusion(spark):
     pairs = [(a + t + b, a + r + b) for t, r in CONFUSIONS for a in beside for b in beside]
     rows = spark.createDataFrame(pairs, "t string, r string")
     assert rows.where(skeleton(F.col("t")) != skeleton(F.col("r"))).count() == 0
+
+
+WRAPPED = "Der Konzern erhöhte die Verpflichtungen nach der\nEingliederurig erworbener Gesellschaften im Quartal 1 2025. Weitere\nErläuterungen enthält der Anhang."
+
+
+def test_pages_whose_lines_break_before_capitals(spark):
+    data = [(i, "other.pdf", 1, "Die Eingliederung erworbener Gesellschaften.", "x", "y", 1) for i in range(100, 160)]
+    data += [(1, None, None, WRAPPED, "x", "y", 1), (2, None, None, "Environmental indicators of the group\nThe Eingliederurig of businesses was reported by the group in 2024.\nThe rest.", "x", "y", 1)]
+    data += [(3, None, 7, "Die Eingliederurig erworbener Gesellschaften.\nWeitere Angaben fehlen.\nPage 7", "x", "y", 1), (4, None, 7, "Environmental indicators\n- The Eingliederurig of businesses.\n- The rest.", "x", "y", 1)]
+    rows = spark.createDataFrame(data, SCHEMA)
+    assert {(r.ref_id, r.line_no) for r in noisy_lines(rows).where("kind = 'misread'").collect()} == {(1, 2), (3, 1)}
+    got = {r.ref_id: r.text for r in paragraphs(rows).collect()}
+    assert got == {1: WRAPPED.replace("urig", "ung").replace("\n", " "), 3: "Die Eingliederung erworbener Gesellschaften. Weitere Angaben fehlen."}
