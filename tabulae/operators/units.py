@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tabulae.operators.orphans import clean_key
 from tabulae.session import salted_join
 
-# Units with their dimension and size in the dimension's base (USD, INR, EUR, GBP: one; share: one basis point; energy: J; mass: mg; volume: mL; area: cm2; duration: s).
+# Units with their dimension and size in the dimension's base (USD, INR, EUR, GBP: one; share: one basis point; energy: J; mass: mg; volume: mL; area: cm2; duration: s; density: mg a mL; power: W).
 CURRENCIES = {"USD": "USD", "US$": "USD", "$": "USD", "DOLLAR": "USD", "DOLLARS": "USD", "EUR": "EUR", "€": "EUR", "EURO": "EUR", "EUROS": "EUR", "GBP": "GBP", "£": "GBP", "POUND": "GBP", "POUNDS": "GBP", "INR": "INR", "₹": "INR", "RS": "INR", "RS.": "INR", "RUPEE": "INR", "RUPEES": "INR"}
 SCALES = {"k": 3, "thousand": 3, "thousands": 3, "000": 3, "'000": 3, "000s": 3, "'000s": 3, "tsd": 3, "lakh": 5, "lakhs": 5, "lac": 5, "lacs": 5, "m": 6, "mn": 6, "mm": 6, "mio": 6, "mln": 6, "million": 6, "millions": 6, "crore": 7, "crores": 7, "cr": 7, "b": 9, "bn": 9, "mrd": 9, "bln": 9, "billion": 9, "billions": 9, "tn": 12, "trillion": 12, "trillions": 12}
 PREFIXES = {"": 0, "k": 3, "M": 6, "G": 9, "T": 12, "P": 15}
@@ -56,14 +56,30 @@ def _energy(text: str) -> tuple[str, int] | None:
     return None
 
 
-def _plain(text: str) -> tuple[str, int] | None:
+def _power(text: str) -> tuple[str, int] | None:
+    if m := re.fullmatch(r"([kMGTP]?)W", text):
+        return "power", 10 ** PREFIXES[m[1]]
+    if m := re.fullmatch(r"(|kilo|mega|giga|tera|peta)watts?", text.lower()):
+        return "power", 10 ** PREFIX_WORDS[m[1]]
+    return None
+
+
+def _density(text: str) -> tuple[str, Fraction] | None:
+    """A mass over a volume."""
+    if not (m := re.fullmatch(r"([^/]+?)(?: ?/ ?| per )([^/]+)", text)):
+        return None
+    mass, volume = _plain(m[1]), _plain(m[2])
+    return ("density", Fraction(mass[1]) / volume[1]) if mass and volume and (mass[0], volume[0]) == ("mass", "volume") else None
+
+
+def _plain(text: str) -> tuple[str, int | Fraction] | None:
     """A unit without scale words."""
     low = re.sub(r"[ -]+", " ", text.lower())
     if low in SHARES or text.lower() in SHARES:
         return "share", SHARES.get(low) or SHARES[text.lower()]
     if text in SYMBOLS:
         return SYMBOLS[text]
-    if found := _energy(text):
+    if found := _energy(text) or _power(text) or _density(text):
         return found
     return WORDS.get(low) or (WORDS.get(low[:-1]) if low.endswith("s") else None) or (WORDS.get(low.replace("tres", "tre").replace("ters", "ter").replace("tons", "ton")))
 
@@ -203,7 +219,7 @@ def solve(columns: list[dict], identities=IDENTITIES) -> list[tuple[Reading | No
     return [(r, m, u) for (r, m), u in zip(chosen, unsure)]
 
 
-FREE = {"share": ["%", "fraction of 1", "bp"], "mass": ["g", "kg", "t", "kt", "Mt"], "volume": ["L", "m3", "ML"], "energy": ["kJ", "MJ", "GJ", "TJ", "kWh", "MWh", "GWh"], "duration": ["h", "d"], "area": ["m2", "ha", "km2"]}
+FREE = {"share": ["%", "fraction of 1", "bp"], "mass": ["g", "kg", "t", "kt", "Mt"], "volume": ["L", "m3", "ML"], "energy": ["kJ", "MJ", "GJ", "TJ", "kWh", "MWh", "GWh"], "duration": ["h", "d"], "area": ["m2", "ha", "km2"], "density": ["kg/m3", "g/cm3", "mg/L"], "power": ["W", "kW", "MW", "GW"]}
 
 UNITS = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("common_unit", T.StringType()), T.StructField("factor", T.DoubleType()), T.StructField("common_number", T.LongType()), T.StructField("residual", T.DoubleType()), T.StructField("non_unique", T.BooleanType())]))
 
@@ -277,7 +293,7 @@ def _dataset(title, page_start, page_end, given, pages, goal) -> list[dict]:
     out = []
     columns = []
     for c in given if given is not None else []:
-        free = [parse_unit(u) for u in FREE.get(c["dimension"], [])]
+        free = [parse_unit(u) for u in FREE.get(c["dimension"] or c["key"], [])]
         columns.append({"key": c["key"], "candidates": candidates(c["unit"], c["label"], c["cell_unit"], title, c["dimension"]), "free": free, "log": c["log"]})
     for c, (reading, miss, unsure) in zip(columns, solve(columns)):
         if reading and (to := common(reading, goal)):

@@ -78,3 +78,35 @@ def test_tables(spark):
     assert dataset_units(spark.createDataFrame([], schema), tables, targets).count() == 0
     refs = spark.createDataFrame([(1, ["$m", None, " ", "bp", "odd"]), (1, ["$m", None, " ", "bp", "odd"]), (2, None)], "ref_id bigint, expected_units array<string>")
     assert sorted((r.rec_key, r["item"], r.common_unit, r.common_number) for r in expected_units(refs, targets).collect()) == [("1", "0", "USD", 10**6), ("1", "3", "bp", 1)]
+
+
+@pytest.mark.parametrize(
+    ("text", "dimension", "size"),
+    [("kg/m³", "density", 1), ("g / cm3", "density", 1e3), ("kilograms per cubic metre", "density", 1), ("mg/L", "density", 1e-3), ("kW", "power", 1e3), ("megawatts", "power", 1e6), ("million kW", "power", 1e9), ("kWh", "energy", 3.6e6)],
+)
+def test_density_and_power(text, dimension, size):
+    got = parse_unit(text)
+    assert (got.dimension, float(got.size)) == (dimension, size)
+
+
+@pytest.mark.parametrize("text", ["kg/h", "USD/m3", "m3/kg", "kg/", "per m3", "g/m3/L"])
+def test_other_ratios_are_no_units(text):
+    assert parse_unit(text) is None
+
+
+def test_mass_and_energy_decided_by_identity(spark):
+    columns = "array<struct<key:string,label:string,type:string,unit:string>>"
+    schema = f"dataset_id string, table_id string, title string, page_start int, page_end int, columns {columns}, source_regions array<struct<page:int,bounding_box:array<double>>>"
+    number = lambda key, unit=None: (key, key, "number", unit)
+    rows = [
+        ("d1", "t1", "Stock", None, None, [number("mass"), number("density", "kg/m3"), number("volume", "m3")], None),
+        ("d2", "t2", "Plants", None, None, [number("energy"), number("power", "kW"), number("duration", "h")], None),
+        ("d3", "t3", "Stock", None, None, [number("mass"), number("density", "kg/m3"), number("volume", "m3")], None),
+        ("d4", "t4", "Stock", None, None, [number("mass"), number("density"), number("volume", "m3")], None),
+    ]
+    cells = [("t1", [{"mass": "15.7", "density": "7850", "volume": "2"}]), ("t2", [{"energy": "12", "power": "500", "duration": "24"}]), ("t3", [{"mass": "5.1", "density": "7850", "volume": "2"}]), ("t4", [{"mass": "15.7", "density": "7.85", "volume": "2"}])]
+    tables = spark.createDataFrame(cells, "table_id string, rows array<map<string,string>>")
+    targets = spark.createDataFrame(TARGETS, "dimension string, common_unit string")
+    found = {(r.rec_key, r["item"]): r for r in dataset_units(spark.createDataFrame(rows, schema), tables, targets).collect()}
+    assert {k: (r.common_unit, r.factor) for k, r in found.items() if k[1] in ("mass", "energy") and not r.non_unique} == {("d1", "mass"): ("g", 1e6), ("d2", "energy"): ("kJ", 3.6e6)}
+    assert found["d4", "mass"].non_unique and ("d3", "mass") not in found
