@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tabulae.session import numbered
+from tabulae.session import checkpoint, numbered
 
 #: Weight of relevance against novelty.
 LAMBDA = 0.65
+#: Items of a node that one task holds at most.
+MOST = 4_000
 
 
 def quotas(nodes: DataFrame, scope: str, budget: int) -> DataFrame:
@@ -85,14 +88,15 @@ def clusters(matrix: np.ndarray, k: int, rounds: int = 50) -> tuple[np.ndarray,
     return labels, centres
 
 
-def representative_indices(matrix: np.ndarray) -> list[int]:
-    """All of up to 8; else a fifth, 8 to 80: both ends, the nearest to each cluster's centre, and the rest by marginal relevance."""
+def representative_indices(matrix: np.ndarray, size: int | None = None) -> list[int]:
+    """All of up to 8; else a fifth, 8 to 80: both ends, the nearest to each cluster's centre, and the rest by marginal relevance. ``size``: the node's items, if the matrix holds only candidates."""
     n = len(matrix)
     if n <= 8:
         return list(range(n))
-    budget = min(n, 80, max(8, -(-n // 5)))
+    size = size or n
+    budget = min(size, 80, max(8, -(-size // 5)))
     matrix = unit(matrix)
-    labels, centres = clusters(matrix, max(1, min(round(n**0.5), budget - 3)))
+    labels, centres = clusters(matrix, max(1, min(round(size**0.5), budget - 3)))
     chosen = {0, n - 1}
     for c, centre in enumerate(centres):
         members = np.flatnonzero(labels == c)
@@ -101,24 +105,63 @@ def representative_indices(matrix: np.ndarray) -> list[int]:
     return marginal(matrix, chosen, budget)
 
 
+def _placed(rows: DataFrame, node: str, key: str, vector: str, block: int) -> DataFrame:
+    """Items with a vector, their ``place`` (from 1) in the order of ``key`` in their node, ``size``, the node's items, and ``section``, the run of ``block`` items they are in."""
+    flat = rows.select(F.col(node).cast("int").alias(node), F.col(key).cast("bigint").alias(key), vector).where(F.col(vector).isNotNull())
+    return numbered(flat, [node], [F.asc(key)], "place", "size").withColumn("section", F.floor((F.col("place") - 1) / block).cast("bigint"))
+
+
+def _matrix(group: pd.DataFrame, vector: str) -> np.ndarray:
+    return np.stack(group[vector].to_numpy()).astype(np.float64)
+
+
+def _bounded(placed: DataFrame, node: str, key: str, vector: str, keep: int) -> DataFrame:
+    """The items of each node, and of nodes of more than ``MOST`` the candidates: runs of ``MOST`` are cut to ``keep`` by marginal relevance, with both ends, until none is larger."""
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        return group.iloc[marginal(unit(_matrix(group, vector)), {0, len(group) - 1}, keep)].drop(columns=["_run"])
+
+    small_ = placed.where(F.col("size") <= MOST)
+    large = placed.where(F.col("size") > MOST).withColumn("_at", F.col("place")).withColumn("_size", F.col("size"))
+    while not large.where(F.col("_size") > MOST).isEmpty():
+        runs = large.withColumn("_run", F.floor((F.col("_at") - 1) / MOST)).drop("_at", "_size")
+        columns = [f for f in runs.schema.fields if f.name != "_run"]
+        kept = checkpoint(runs.groupBy(node, "_run").applyInPandas(cut, StructType(columns)))
+        large = numbered(kept, [node], [F.asc(key)], "_at", "_size")
+    return small_.unionByName(large.drop("_at", "_size"))
+
+
 def representatives(rows: DataFrame, node: str, key: str, vector: str, block: int = 400) -> DataFrame:
-    """``node``, ``section``, ``key`` of the representatives of each section, a run of at most ``block`` items of a node in order of ``key``.
+    """``node``, ``section``, ``key`` of the representatives of each node; ``section`` is the run of ``block`` items of the node, in order of ``key``, that the item is in.
 
-    Sections bound what one task holds, whatever the size of a node; section numbers come from the
-    key, so no task sorts a whole node.
+    Budget and clusters go by the whole node's items. Of a node of more than ``MOST`` items, clusters
+    and choice are over its candidates (``_bounded``), so no task holds more than ``MOST``.
     """
-    cut = rows.select(F.col(node).cast("int").alias(node), F.floor(F.col(key) / block).cast("bigint").alias("section"), F.col(key).cast("bigint").alias(key), vector).where(F.col(vector).isNotNull())
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
-        picked = representative_indices(np.stack(group[vector].to_numpy()).astype(np.float64))
-        return group.iloc[picked][[node, "section", key]]
+        return group.iloc[representative_indices(_matrix(group, vector), int(group["size"].iloc[0]))][[node, "section", key]]
 
-    return cut.groupBy(node, "section").applyInPandas(choose, f"{node} int, section bigint, {key} bigint")
+    bounded = _bounded(_placed(rows, node, key, vector, block), node, key, vector, 80)
+    return bounded.groupBy(node).applyInPandas(choose, f"{node} int, section bigint, {key} bigint")
+
+
+def node_diverse(rows: DataFrame, node: str, key: str, vector: str, budget: int, block: int = 400) -> DataFrame:
+    """``budget`` items of each node by marginal relevance, both ends always among them; ``section`` and nodes of more than ``MOST`` items as in ``representatives``."""
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        n = len(group)
+        picked = range(n) if n <= budget else marginal(unit(_matrix(group, vector)), {0, n - 1}, budget)
+        return group.iloc[list(picked)][[node, "section", key]]
+
+    bounded = _bounded(_placed(rows, node, key, vector, block), node, key, vector, max(80, budget))
+    return bounded.groupBy(node).applyInPandas(choose, f"{node} int, section bigint, {key} bigint")
 
 
 def diverse(rows: DataFrame, node: str, key: str, vector: str, budget: int, block: int = 400) -> DataFrame:
-    """``budget`` items of each section of a node by marginal relevance, both ends always among them."""
+    """``budget`` items of each section of a node, a range of ``block`` values of ``key``, by marginal relevance, both ends always among them."""
     cut = rows.select(F.col(node).cast("int").alias(node), F.floor(F.col(key) / block).cast("bigint").alias("section"), F.col(key).cast("bigint").alias(key), vector).where(F.col(vector).isNotNull())
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
@@ -131,8 +174,8 @@ def diverse(rows: DataFrame, node: str, key: str, vector: str, budget: int, bloc
 
 
 def scope_representatives(rows: DataFrame, node: str, key: str, vector: str, budget: int, block: int = 400) -> DataFrame:
-    """A budget over all sections of a node: seats by ``quotas``, each section's items by marginal relevance within its seats."""
-    cut = rows.select(F.col(node).cast("int").alias(node), F.floor(F.col(key) / block).cast("bigint").alias("section"), F.col(key).cast("bigint").alias(key), vector).where(F.col(vector).isNotNull())
+    """A budget over all sections of a node, runs of ``block`` of its items in order of ``key``: seats by ``quotas``, each section's items by marginal relevance within its seats; the node's first and last are always kept."""
+    cut = checkpoint(_placed(rows, node, key, vector, block))
     sizes = cut.groupBy(node, "section").agg(F.count("*").alias("n_items")).select(node, F.col("section").alias("node_id"), F.col("section").alias("pos"), "n_items")
     seats = quotas(sizes, node, budget).select(node, F.col("node_id").alias("section"), "quota")
     given = cut.join(seats, [node, "section"])
@@ -140,8 +183,8 @@ def scope_representatives(rows: DataFrame, node: str, key: str, vector: str, bud
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
         n, seats = len(group), int(group.quota.iloc[0])
-        ends = {0, n - 1} if seats >= 2 else set()
-        picked = range(n) if seats >= n else marginal(unit(np.stack(group[vector].to_numpy()).astype(np.float64)), ends, seats)
+        ends = {i for i in (0, n - 1) if seats >= 2 or group.place.iloc[i] in (1, group["size"].iloc[0])}
+        picked = range(n) if seats >= n else marginal(unit(_matrix(group, vector)), ends, seats)
         return group.iloc[list(picked)][[node, "section", key]]
 
     return given.groupBy(node, "section").applyInPandas(choose, f"{node} int, section bigint, {key} bigint")

@@ -287,7 +287,7 @@ def top_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_mmr(spark: SparkSession, d: str) -> DataFrame:
-    return R.diverse(read(spark, d, "embeddings"), "label", "vec_id", "embedding", 10)
+    return R.node_diverse(read(spark, d, "embeddings"), "label", "vec_id", "embedding", 10)
 
 
 def top_scope_budget(spark: SparkSession, d: str) -> DataFrame:

@@ -113,3 +113,15 @@ def test_memory_triggers(spark, tmp_path):
     spark.createDataFrame([(1,)] * 13 + [(2,)] * 5, "user_id bigint").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id bigint").parquet(str(tmp_path / "in"))
     assert sorted((r.user_id, r.done) for r in drain(memory_triggers(stream)).collect()) == [(1, 6), (1, 12)]
+
+
+def test_choices_go_by_node(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i % 5, i, rng.normal(size=4).tolist()) for i in range(2500)], "label int, vec_id bigint, v array<double>")
+    for most in (4_000, 150):
+        monkeypatch.setattr(R, "MOST", most)
+        for got, want in ((R.representatives(df, "label", "vec_id", "v"), 80), (R.node_diverse(df, "label", "vec_id", "v", 10), 10), (R.scope_representatives(df, "label", "vec_id", "v", 12), 12)):
+            found = {}
+            for r in got.collect():
+                found.setdefault(r.label, []).append(r.vec_id)
+            assert {k: (len(v), min(v), max(v)) for k, v in found.items()} == {n: (want, n, 2495 + n) for n in range(5)}
