@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 from tabulae.session import checkpoint
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """All pairs ``node_id``, ``ancestor_id`` and ``distance`` (0 for the node itself), by doubling jumps.
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """All pairs ``node_id``, ``ancestor_id`` and ``distance`` (0 for the node itself), by doubling jumps until no pair is new.
 
-    ``nodes``: ``node_id``, ``parent_id``. Cycles end at ``max_depth``; parents that do not exist are no ancestors.
+    ``nodes``: ``node_id``, ``parent_id``. Cycles end because their pairs are known already; parents that do not exist are no ancestors.
     """
     ids = nodes.select("node_id").distinct()
-    up = nodes.select("node_id", F.col("parent_id").alias("ancestor_id")).join(ids.select(F.col("node_id").alias("ancestor_id")), "ancestor_id").select("node_id", "ancestor_id", F.lit(1).alias("distance"))
+    up = nodes.select("node_id", F.col("parent_id").alias("ancestor_id")).join(ids.select(F.col("node_id").alias("ancestor_id")), "ancestor_id").where(F.col("node_id") != F.col("ancestor_id")).select("node_id", "ancestor_id", F.lit(1).alias("distance")).distinct()
     known, span = checkpoint(ids.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance")).unionByName(up)), 1
-    while span < max_depth:
+    while True:
         further = known.where(F.col("distance") == span).select(F.col("node_id"), F.col("ancestor_id").alias("via"))
         next_ = further.join(known.where("distance > 0").select(F.col("node_id").alias("via"), "ancestor_id", (F.col("distance") + span).alias("distance")), "via").select("node_id", "ancestor_id", "distance")
-        next_ = next_.where(F.col("node_id") != F.col("ancestor_id"))
-        if next_.isEmpty():
+        new = checkpoint(next_.join(known, ["node_id", "ancestor_id"], "left_anti").groupBy("node_id", "ancestor_id").agg(F.min("distance").alias("distance")))
+        if new.isEmpty():
             break
-        known, span = checkpoint(known.unionByName(next_).groupBy("node_id", "ancestor_id").agg(F.min("distance").alias("distance"))), span * 2
+        known, span = checkpoint(known.unionByName(new)), span * 2
     return known
 
 

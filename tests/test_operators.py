@@ -150,3 +150,12 @@ def test_numbered(spark):
     for r in got:
         assert r.n == len(want[r.g]) and sorted(want[r.g], reverse=True)[r.place - 1] == r.k
     assert numbered(df.limit(0), ["g"], [F.desc("k")], "place").count() == 0
+
+
+def test_ancestors_of_deep_trees_and_cycles(spark):
+    from tabulae.operators.outline import ancestors
+
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(140)] + [(200, 201), (201, 202), (202, 200), (300, 300)], "node_id int, parent_id int")
+    got = {(r.node_id, r.ancestor_id): r.distance for r in ancestors(deep).collect()}
+    want = {(i, j): i - j for i in range(140) for j in range(i + 1)} | {(200 + i, 200 + (i + d) % 3): d for i in range(3) for d in range(3)} | {(300, 300): 0}
+    assert got == want
