@@ -33,7 +33,7 @@ RATIO, LEAST = 10, 5
 SHORT_RATIO = {3: 200, 4: 50}
 #: Words longer than this are codes.
 LONGEST = 40
-#: Most frequent words that are known to be right and need no look-up; all others are looked up.
+#: Most frequent words that are known to be right and need no look-up; all others are looked up, and so are misread quarters of letters alone.
 COMMON = 5_000
 #: Share of a line's occurrences that must carry a page number for it to be a running header.
 DRESSED = 0.1
@@ -253,7 +253,7 @@ def noise(rows: DataFrame) -> dict[str, DataFrame]:
     joints = settled.unionByName(open_.select(*shared, "joined_form", cut_open.alias("cut")))
     joints = checkpoint(joints)
 
-    common = words.join(fixes, "word", "left_anti").where(F.col("word").rlike(r"^(?:\p{L}+|[0-9]+)$")).orderBy(F.desc("n"), "word").limit(COMMON).select("word")
+    common = words.join(fixes, "word", "left_anti").where(F.col("word").rlike(r"^(?:\p{L}+|[0-9]+)$") & ~F.col("word").rlike("^q[" + "".join(DIGITS_READ).lower() + "]$")).orderBy(F.desc("n"), "word").limit(COMMON).select("word")
     running = lines.where(F.col("broken") & (F.col("role") == "text"))
     order = W.partitionBy("ref_id").orderBy("line_no")
     ended = F.col("line").rlike(r"[\p{L}\p{N}][" + HYPHEN + "]$")

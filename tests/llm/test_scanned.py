@@ -78,3 +78,8 @@ def test_pages_whose_lines_break_before_capitals(spark):
     assert {(r.ref_id, r.line_no) for r in noisy_lines(rows).where("kind = 'misread'").collect()} == {(1, 2), (3, 1)}
     got = {r.ref_id: r.text for r in paragraphs(rows).collect()}
     assert got == {1: WRAPPED.replace("urig", "ung").replace("\n", " "), 3: "Die Eingliederung erworbener Gesellschaften. Weitere Angaben fehlen."}
+
+
+def test_misread_quarters_of_letters_alone(spark):
+    rows = spark.createDataFrame([(1, None, None, "the pension scheme reported for Ql\nand the revenue for QZ.", "x", "y", 1)], SCHEMA)
+    assert {(r.line_no, r.kind) for r in noisy_lines(rows).collect()} == {(1, "misread"), (2, "misread")}
