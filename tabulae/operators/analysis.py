@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulae.operators.profile import group_quantiles
+
 FILTERS = {
     "equals": lambda c, v: c == v[0],
     "not_equals": lambda c, v: c != v[0],
@@ -61,8 +63,9 @@ def trend(df: DataFrame, time: str, unit: str, measure: str) -> DataFrame:
 
 def anomalies(df: DataFrame, by: list[str], measure: str, key: list[str]) -> DataFrame:
     """Rows whose measure lies beyond 1.5 interquartile ranges of its group."""
-    q = df.groupBy(*by).agg(F.percentile(measure, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    bounds = q.select(*by, (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    q = group_quantiles(df, by, measure, {"lower": 0.25, "upper": 0.75})
+    spread = 1.5 * (F.col("upper") - F.col("lower"))
+    bounds = q.select(*by, (F.col("lower") - spread).alias("low"), (F.col("upper") + spread).alias("high"))
     return df.join(bounds, by).where((F.col(measure) < F.col("low")) | (F.col(measure) > F.col("high"))).select(*key, *by, measure)
 
 

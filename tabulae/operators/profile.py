@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulae.functions.text import collapse, is_missing
 from tabulae.functions.values import NUMERIC, TEMPORAL, observe, parse_period
+from tabulae.session import checkpoint, numbered
 
 # What makes a label an identifier or a metric, a row a total or a footnote.
 ID_LABEL = r"(?i)(?:^|[_\s-])(?:id|identifier|code|account|reference|serial|sku|isin)(?:$|[_\s-])"
@@ -28,27 +31,46 @@ def cells(tables: DataFrame) -> DataFrame:
 
 
 def observed(table_cells: DataFrame) -> DataFrame:
-    """Cells with ``o``, what each holds (null where missing)."""
-    return observe(table_cells, "raw", "label")
+    """Cells with ``o``, what each holds (null where missing), written once, because profiles read them several times."""
+    return checkpoint(observe(table_cells, "raw", "label"))
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
+    """Half to even, as the profiles' figures are defined."""
+    return F.bround(c, digits)
+
+
+#: Quantiles of a profile.
+QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def group_quantiles(values: DataFrame, by: list[str], value: str, quantiles: dict[str, float] = QUANTILES) -> DataFrame:
+    """Exact quantiles per group, interpolated between neighbours: ``by`` and one column per quantile.
+
+    Values are numbered over ranges of the groups and the two at each quantile's place are picked, so
+    no task holds a group, however large. Nulls and NaN do not count.
+    """
+    placed = numbered(values.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)"), by, [F.asc("_v")], "_i", "_size")
+    last = F.col("_size") - 1
+    below = {n: F.floor(last * q) for n, q in quantiles.items()}
+    near = reduce(Column.__or__, ((F.col("_i") - 1).isin(b, F.ceil(last * q)) for (n, q), b in zip(quantiles.items(), below.values())))
+    at = lambda place: F.max(F.when(F.col("_i") - 1 == place, F.col("_v")))
+    picked = placed.where(near).groupBy(*by).agg(*(x for n, q in quantiles.items() for x in (at(below[n]).alias(f"_a_{n}"), at(F.ceil(last * q)).alias(f"_b_{n}"), F.max(last * q - below[n]).alias(f"_f_{n}"))))
+    return picked.select(*by, *((F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n) for n in quantiles))
 
 
 def numeric_profile(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Statistics of a number per group: extremes, mean, population deviation, exact interpolated quantiles, zeros, negatives, and values beyond 1.5 interquartile ranges.
 
-    Quantiles are exact; outliers are counted in a second pass over the values with the bounds joined back.
+    Outliers are counted in a second pass over the values with the bounds joined back.
     """
     v = F.col(value)
-    q = F.percentile(value, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    stats = values.groupBy(*by).agg(F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"), q.alias("q"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"))
-    spread = F.col("q")[3] - F.col("q")[1]
-    bounds = stats.select(*by, (F.col("q")[1] - 1.5 * spread).alias("low"), (F.col("q")[3] + 1.5 * spread).alias("high"))
+    stats = values.groupBy(*by).agg(F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"))
+    places = checkpoint(group_quantiles(values, by, value))
+    spread = F.col("p75") - F.col("p25")
+    bounds = places.select(*by, (F.col("p25") - 1.5 * spread).alias("low"), (F.col("p75") + 1.5 * spread).alias("high"))
     outliers = values.join(bounds, by).groupBy(*by).agg(F.count_if((v < F.col("low")) | (v > F.col("high"))).alias("outliers"))
-    names = ("p05", "p25", "median", "p75", "p95")
-    return stats.join(outliers, by).select(*by, *(rounded(F.col(c)).alias(c) for c in ("minimum", "maximum", "mean", "deviation")), *(rounded(F.col("q")[i]).alias(n) for i, n in enumerate(names)), "zeros", "negatives", "outliers")
+    return stats.join(places, by).join(outliers, by).select(*by, *(rounded(F.col(c)).alias(c) for c in ("minimum", "maximum", "mean", "deviation", *QUANTILES)), "zeros", "negatives", "outliers")
 
 
 def column_types(seen: DataFrame) -> DataFrame:
@@ -159,7 +181,7 @@ def table_profiles(tables: DataFrame) -> DataFrame:
     )
     first = seen.where("col_no = 0 AND o IS NOT NULL").groupBy("table_id").agg(F.avg(F.when(F.col("o.display").rlike(METRIC_LABEL), 1.0).otherwise(0.0)).alias("metric_rows"))
     pages = tables.groupBy("table_id").agg(F.max_by(F.struct((F.col("page_end") > F.col("page_start")).alias("long"), F.size("source_fragments").alias("parts")), F.struct("updated_at", "title")).alias("p"))
-    t = shape.join(row_features(cells(tables)), "table_id").join(first, "table_id", "left").join(pages, "table_id", "left").fillna(0.0, ["metric_rows"])
+    t = shape.join(row_features(seen), "table_id").join(first, "table_id", "left").join(pages, "table_id", "left").fillna(0.0, ["metric_rows"])
     axis = F.col("first_role").isin("category", "dimension", "identifier")
     orientation = (
         F.when(F.col("period_headers") >= 2, "wide_time_series")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulae.functions.text import distinct_ignoring_case, shingles
+from tabulae.operators import concepts as K
 from tabulae.operators import context as C
 from tabulae.operators import hydration as H
 from tabulae.operators import outline as O
@@ -15,7 +16,6 @@ from tabulae.operators import retrieval as S
 from tabulae.session import numbered, read
 
 QUESTIONS = [(1, "customer retention and employee turnover"), (2, "greenhouse emissions across all reporting entities"), (3, "dépenses d'investissement du groupe"), (4, "restructuring provision under the revised methodology")]
-PHRASES = ["customer retention", "greenhouse emissions", "restructuring provision", "capital expenditure"]
 
 
 def _questions(spark: SparkSession) -> DataFrame:
@@ -68,9 +68,17 @@ def agg_rrf(spark: SparkSession, d: str) -> DataFrame:
     return S.fuse_ranks(_lists(spark, d), ["run_id"], "chunk_id")
 
 
+def _signals(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """Each run as a request: what its references matched are its concepts, its query their text."""
+    asked = read(spark, d, table).where("run_id IS NOT NULL").select("run_id", F.explode("matched_queries").alias("q")).where("trim(q) <> ''").groupBy("run_id").agg(F.array_sort(F.collect_set("q")).alias("qs"))
+    concept = F.transform("qs", lambda q: F.struct(q.alias("canonical"), F.array().cast("array<string>").alias("variants")))
+    none = [F.array().cast("array<string>").alias(c) for c in ("metrics", "entities", "years", "units")]
+    return K.signals(asked.select("run_id", F.array_join("qs", " ").alias("query"), concept.alias("concepts"), F.size("qs").alias("query_count"), *none))
+
+
 def win_consensus(spark: SparkSession, d: str) -> DataFrame:
     modes, queries = F.size(F.array_distinct("retrieval_modes")), F.size(F.array_distinct("matched_queries"))
-    return S.consensus(_candidates(spark, d), "run_id", modes, queries, 3).select("run_id", "chunk_id", F.round("raw", 6).alias("raw"), "consensus")
+    return K.consensus(_candidates(spark, d), "run_id", modes, queries, F.lit(3)).select("run_id", "chunk_id", F.round("raw", 6).alias("raw"), "consensus")
 
 
 def flt_relative(spark: SparkSession, d: str) -> DataFrame:
@@ -82,16 +90,55 @@ def win_round_robin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mt_phrase_strength(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "text_evidence").where("text IS NOT NULL").withColumn("s", S.phrase_strengths(PHRASES)("text"))
-    return rows.select("ref_id", *(F.col("s")[i].alias(f"phrase_{i + 1}") for i in range(len(PHRASES)))).distinct()
+    """How strongly each text holds the phrases that it was retrieved for."""
+    rows = read(spark, d, "text_evidence").where("text IS NOT NULL").select("ref_id", "text", F.explode(F.array_distinct("matched_queries")).alias("phrase")).distinct()
+    rows = rows.withColumn("t", K.prepared("text")).withColumn("p", K.prepared("phrase"))
+    return rows.select("ref_id", "phrase", K.strength(F.col("p"), F.col("t")).alias("strength"))
 
 
-def fn_score_text(spark: SparkSession, d: str) -> DataFrame:
+def _scored_texts(spark: SparkSession, d: str) -> DataFrame:
     fused = S.fuse_ranks(_lists(spark, d), ["run_id"], "chunk_id").select("run_id", "chunk_id", "rrf")
     rows = _candidates(spark, d).join(fused, ["run_id", "chunk_id"], "left")
+    rows = rows.withColumn("n_modes", F.size(F.array_distinct("retrieval_modes"))).withColumn("n_queries", F.size(F.array_distinct("matched_queries")))
+    return K.scored(rows, _signals(spark, d, "text_evidence"), "run_id", "text")
+
+
+def fn_score_text(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_texts(spark, d).select("run_id", "chunk_id", "rrf_part", "concept", "year", "unit", "consensus", "relevance")
+
+
+def mt_concept_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_texts(spark, d).select("run_id", "chunk_id", "concept")
+
+
+def mt_signal_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Mean strength of the years and units that a conversation's questions name in each of its answers."""
+    turns = read(spark, d, "chats").dropDuplicates(["chat_id"]).select("chat_id", F.explode("conversation").alias("m")).select("chat_id", "m.role", "m.content")
+    asked = turns.where("role = 'user'").groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_set("content")), " ").alias("query"))
+    none = F.array().cast("array<string>")
+    asked = K.signals(asked.select("chat_id", "query", F.array().cast("array<struct<canonical:string,variants:array<string>>>").alias("concepts"), *(none.alias(c) for c in ("metrics", "entities", "years", "units"))))
+    both = K.with_signals(turns.where("role = 'assistant'"), asked, "chat_id").withColumn("t", K.prepared("content"))
+    return both.select("chat_id", F.sha2("content", 256).alias("answer"), F.bround(K.signal_coverage(F.col("_years"), F.col("t")), 6).alias("years"), F.bround(K.signal_coverage(F.col("_units"), F.col("t")), 6).alias("units"))
+
+
+def mt_signals(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d, "text_evidence")
+    return rows.select("run_id", F.array_join(F.flatten("concept_terms"), "|").alias("concepts"), F.array_join("year_terms", "|").alias("years"), F.array_join("unit_terms", "|").alias("units"))
+
+
+def agg_concept_df(spark: SparkSession, d: str) -> DataFrame:
+    """Specificity of each concept of a run over the run's candidates."""
+    both = K.with_signals(_candidates(spark, d), _signals(spark, d, "text_evidence"), "run_id").withColumn("t", K.prepared("text"))
+    strong = both.select("run_id", K.concept_strengths(F.col("_concepts"), F.col("t")).alias("strengths"))
+    return K.specificities(strong, "run_id").select("run_id", F.posexplode("specificity").alias("concept_no", "w")).select("run_id", "concept_no", F.bround("w", 6).alias("specificity"))
+
+
+def mt_context_build(spark: SparkSession, d: str) -> DataFrame:
+    """What a run's candidates are scored with: its concepts' specificities and how its candidates' agreement is spread."""
+    special = agg_concept_df(spark, d).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("concept_no", "specificity"))), lambda x: x["specificity"].cast("string")), "|").alias("specificities"))
     modes, queries = F.size(F.array_distinct("retrieval_modes")), F.size(F.array_distinct("matched_queries"))
-    scored = S.score_texts(rows, "run_id", F.col("text"), F.col("rrf"), modes, queries, PHRASES, ["2022"], 3)
-    return scored.select("run_id", "chunk_id", "fused", "concept", "year", "consensus", "relevance")
+    agreed = K.consensus(_candidates(spark, d), "run_id", modes, queries, F.lit(3)).groupBy("run_id").agg(F.count("*").alias("n_candidates"), F.count_distinct("raw").alias("n_levels"), F.max("raw").alias("most"))
+    return agreed.join(special, "run_id", "left")
 
 
 def top_select_text(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +335,7 @@ def win_first_mid_last(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("n <= 3 OR i IN (1, n, CAST(floor(n / 2) AS INT) + 1)").select("l_orderkey", "l_linenumber")
 
 
-_ALL = (fn_lex_tokens, agg_idf, top_sparse, top_dense, fn_l2_normalize, agg_rrf, win_consensus, flt_relative, win_round_robin, mt_phrase_strength, fn_score_text, top_select_text, fn_shingles, set_combine_queries, set_dedupe_chunks, win_balance, win_token_budget, agg_contributions, win_chunk_index, fn_chunk_text, win_recent_turns, join_neighbor_answer, win_memory, flt_used_citations, fn_format_dialogue, mt_intent, agg_ref_dedupe, join_hydrate, join_stale, agg_hydration_status, prj_discovery, snk_replace_tables, snk_doc_dedup, snk_upsert_sparse, snk_backfill, join_ordered_fetch, fn_outline_scope, fn_node_path, fn_scope_anchor, win_outline_end, join_page_node, win_consecutive_pages, win_quota, win_even_spacing, win_group_chunks, top_representatives, win_first_mid_last)
+_ALL = (fn_lex_tokens, agg_idf, top_sparse, top_dense, fn_l2_normalize, agg_rrf, win_consensus, flt_relative, win_round_robin, mt_phrase_strength, fn_score_text, mt_concept_coverage, mt_signal_coverage, mt_signals, agg_concept_df, mt_context_build, top_select_text, fn_shingles, set_combine_queries, set_dedupe_chunks, win_balance, win_token_budget, agg_contributions, win_chunk_index, fn_chunk_text, win_recent_turns, join_neighbor_answer, win_memory, flt_used_citations, fn_format_dialogue, mt_intent, agg_ref_dedupe, join_hydrate, join_stale, agg_hydration_status, prj_discovery, snk_replace_tables, snk_doc_dedup, snk_upsert_sparse, snk_backfill, join_ordered_fetch, fn_outline_scope, fn_node_path, fn_scope_anchor, win_outline_end, join_page_node, win_consecutive_pages, win_quota, win_even_spacing, win_group_chunks, top_representatives, win_first_mid_last)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TERM = r"'[\p{L}\p{M}\p{N}]+(?:[.\-''’][\p{L}\p{M}\p{N}]+)*'"

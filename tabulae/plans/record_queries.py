@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from tabulae.functions import text as X
 from tabulae.functions.values import numeric_value
 from tabulae.operators import assessment as A
+from tabulae.operators import concepts as C
 from tabulae.operators import profile as P
-from tabulae.operators import retrieval as S
 from tabulae.operators.hydration import hydrated, latest
 from tabulae.operators.orphans import clean_key
 from tabulae.operators.representatives import evenly_spaced
 from tabulae.operators.tables import sequence_ratio
+from tabulae.plans.evidence_queries import _signals
 from tabulae.session import numbered, read, small
 
 
@@ -205,15 +206,24 @@ def mt_value_sim(spark: SparkSession, d: str) -> DataFrame:
     return t.join(other, ["document_id", "title"]).where("table_id < other_id").select("table_id", "other_id", F.round(X.jaccard(F.col("v"), F.col("u")), 6).alias("likeness"))
 
 
-def fn_score_table(spark: SparkSession, d: str) -> DataFrame:
-    """References scored by fused rank 0.36, phrases in title and columns 0.36, columns alone 0.16 and years 0.05."""
-    phrases = ["cash flow", "operating profit", "borrowings"]
+def _table_texts(spark: SparkSession, d: str) -> DataFrame:
+    """References with what is matched of a table: all of its texts, and those of its columns alone."""
+    rows = _refs(spark, d).where("run_id IS NOT NULL")
     schema = F.array_join(F.transform(F.coalesce("expected_columns", F.array().cast("array<string>")), lambda c: F.replace(c, F.lit("_"), F.lit(" "))), " ")
-    rows = _refs(spark, d).where("run_id IS NOT NULL").withColumn("schema", schema).withColumn("content", F.concat_ws(" ", "title", "schema"))
-    rows = rows.withColumn("s", S.phrase_strengths(phrases)("content")).withColumn("c", S.phrase_strengths(phrases)("schema"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / len(phrases)
-    fused = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.isnan("rrf_score"), 0.0).otherwise(F.coalesce("rrf_score", F.lit(0.0)))) / (2 * 3 / 61))
-    return rows.select("ref_id", F.round(0.36 * fused + 0.36 * mean(F.col("s")) + 0.16 * mean(F.col("c")), 5).alias("score"))
+    units = F.array_join(F.array_distinct(F.coalesce("expected_units", F.array().cast("array<string>"))), " ")
+    return rows.withColumn("schema_text", schema).withColumn("content", F.concat_ws(" ", "title", "schema_text", F.nullif(units, F.lit(""))))
+
+
+def prj_candidate_text(spark: SparkSession, d: str) -> DataFrame:
+    return _table_texts(spark, d).select("ref_id", "content", F.col("schema_text").alias("schema"))
+
+
+def fn_score_table(spark: SparkSession, d: str) -> DataFrame:
+    """References scored by fused rank, concepts in all texts and in the columns alone, years, units and consensus."""
+    rrf = F.when(F.isnan("rrf_score"), 0.0).otherwise(F.col("rrf_score"))
+    rows = _table_texts(spark, d).withColumn("rrf", rrf).withColumn("n_modes", F.size(F.array_distinct("retrieval_modes"))).withColumn("n_queries", F.size(F.array_distinct("matched_queries")))
+    scored = C.scored(rows, _signals(spark, d, "retrieved_tables"), "run_id", "content", C.TABLE_WEIGHTS, "schema_text")
+    return scored.select("ref_id", "rrf_part", "concept", "schema", "year", "unit", "consensus", "relevance")
 
 
 def snk_vector_collection(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +258,7 @@ def prj_sources(spark: SparkSession, d: str) -> DataFrame:
     return evenly_spaced(rows, "doc", "point_id", 8)
 
 
-_ALL = (agg_tree_reduce, agg_map_reduce, prj_sources, src_worker, src_scroll_limited, src_find_tables, flt_doc, flt_node_scope, prj_text_hit, prj_table_hit, prj_retrieval_result, prj_playable, prj_chunk_vector, flt_table_substantive, flt_compatible_type, flt_filter_conflict, join_profile_ctx, join_submission, join_word_in_table, agg_artifact_counts, agg_merge_entries, agg_summary_metrics, set_missing_docs, fn_raw_tokens, fn_canonical_value, fn_header_flags, fn_det_summary, fn_parse_scalar, fn_bbox_flip, fn_source_version, mt_units, mt_numbered_parts, mt_seq_ratio, mt_value_sim, fn_score_table, snk_vector_collection, snk_nodes)
+_ALL = (agg_tree_reduce, agg_map_reduce, prj_sources, src_worker, src_scroll_limited, src_find_tables, flt_doc, flt_node_scope, prj_text_hit, prj_table_hit, prj_retrieval_result, prj_playable, prj_chunk_vector, flt_table_substantive, flt_compatible_type, flt_filter_conflict, join_profile_ctx, join_submission, join_word_in_table, agg_artifact_counts, agg_merge_entries, agg_summary_metrics, set_missing_docs, fn_raw_tokens, fn_canonical_value, fn_header_flags, fn_det_summary, fn_parse_scalar, fn_bbox_flip, fn_source_version, mt_units, mt_numbered_parts, mt_seq_ratio, mt_value_sim, fn_score_table, prj_candidate_text, snk_vector_collection, snk_nodes)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"

@@ -125,12 +125,6 @@ def agg_metric_ratio(spark: SparkSession, d: str) -> DataFrame:
     return _columns(spark, d).groupBy("table_id").agg(F.round(F.avg(F.when(F.col("label").rlike(METRIC_LABEL), 1.0).otherwise(0.0)), 6).alias("share"))
 
 
-def agg_concept_df(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "text_evidence").where("text IS NOT NULL AND run_id IS NOT NULL").dropDuplicates(["ref_id"]).select("run_id", *(F.lower("text").contains(p).cast("int").alias(f"c{i}") for i, p in enumerate(("customer retention", "greenhouse emissions"))))
-    n = F.count("*")
-    return rows.groupBy("run_id").agg(n.alias("n"), *(F.round(F.when(n <= 1, 1.0).otherwise(0.25 + 0.75 * (n - F.sum(f"c{i}")) / (n - 1)), 6).alias(f"specificity_{i}") for i in range(2)))
-
-
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     return A.requirement_columns(_columns(spark, d), REQUIREMENTS)
 
@@ -336,7 +330,7 @@ def agg_node_metadata(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.array_join(F.array_sort(F.collect_set("payload.node_id")), ",").alias("nodes"), F.count_distinct("point_id").alias("n"))
 
 
-_ALL = (top_mmr, top_scope_budget, top_select_tables, mt_title_keyword, shp_visual_word_rows, shp_cluster_columns, join_chunk_node, agg_node_metadata, fn_collapse_ws, fn_clean_nbsp, fn_clean_term, fn_token_root, fn_norm_title, fn_truncate, fn_detect_unit_extract, fn_column_label, fn_page_label, fn_slug_id, fn_parse_period, fn_period_signals, fn_looks_numeric, fn_is_period_label, fn_years_in_table, fn_data_cells, fn_pages_overlap, fn_minmax_semantic, fn_rrf_norm, fn_row_digest, agg_metric_ratio, agg_concept_df, join_requirement_column, agg_evidence_dedupe, agg_requirement_coverage, agg_readiness, agg_doc_coverage, join_feasible, join_requirement_text, join_entity_scope, src_scroll, src_by_ids, src_tables_page, src_table_metadata, flt_tenant_text, flt_ownership, flt_valid_citations, snk_delete_scope, snk_attach, snk_orphan, set_obsolete, set_candidates_union, win_fallback_turns, win_attempt_number, sort_document_order, mt_exact_title, mt_contains_phrase, top_nearest_centroid)
+_ALL = (top_mmr, top_scope_budget, top_select_tables, mt_title_keyword, shp_visual_word_rows, shp_cluster_columns, join_chunk_node, agg_node_metadata, fn_collapse_ws, fn_clean_nbsp, fn_clean_term, fn_token_root, fn_norm_title, fn_truncate, fn_detect_unit_extract, fn_column_label, fn_page_label, fn_slug_id, fn_parse_period, fn_period_signals, fn_looks_numeric, fn_is_period_label, fn_years_in_table, fn_data_cells, fn_pages_overlap, fn_minmax_semantic, fn_rrf_norm, fn_row_digest, agg_metric_ratio, join_requirement_column, agg_evidence_dedupe, agg_requirement_coverage, agg_readiness, agg_doc_coverage, join_feasible, join_requirement_text, join_entity_scope, src_scroll, src_by_ids, src_tables_page, src_table_metadata, flt_tenant_text, flt_ownership, flt_valid_citations, snk_delete_scope, snk_attach, snk_orphan, set_obsolete, set_candidates_union, win_fallback_turns, win_attempt_number, sort_document_order, mt_exact_title, mt_contains_phrase, top_nearest_centroid)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KEY = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
@@ -370,8 +364,6 @@ SELECT ref_id, round(CASE WHEN lo >= 0 AND hi <= 1 THEN s WHEN hi = lo THEN 1.0
     "fn_rrf_norm": f"WITH {_REFS} SELECT ref_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(rrf_score, 0)) / (6 / 61::DOUBLE)), 4) AS score FROM refs",
     "fn_row_digest": f"WITH {_CELLS} SELECT table_id, row_no, sha256(string_agg(coalesce(raw, chr(0)), '|' ORDER BY col_no)) AS digest FROM cells GROUP BY 1, 2",
     "agg_metric_ratio": rf"WITH {_C} SELECT table_id, round(avg(CASE WHEN regexp_matches(label, '{METRIC_LABEL}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM cols GROUP BY 1",
-    "agg_concept_df": """WITH e AS (SELECT DISTINCT ON (ref_id) * FROM text_evidence WHERE text IS NOT NULL AND run_id IS NOT NULL), c AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), 'customer retention')) AS a, count(*) FILTER (WHERE contains(lower(text), 'greenhouse emissions')) AS b FROM e GROUP BY 1)
-SELECT run_id, n, round(CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 0.25 + 0.75::DOUBLE * (n - a) / (n - 1) END, 6) AS specificity_0, round(CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 0.25 + 0.75::DOUBLE * (n - b) / (n - 1) END, 6) AS specificity_1 FROM c""",
     "join_feasible": f"""WITH {_C}, t AS (SELECT document_id, count(DISTINCT table_id) AS n_tables FROM cols GROUP BY 1), s AS (SELECT document_id, lower(label) AS label, count(DISTINCT table_id) AS n FROM cols WHERE declared <> 'number' GROUP BY 1, 2),
 c AS (SELECT s.document_id, string_agg(label, '|' ORDER BY label) AS shared FROM s JOIN t USING (document_id) WHERE n = n_tables GROUP BY 1)
 SELECT t.document_id, n_tables, coalesce(shared, '') AS shared, CAST(n_tables >= 2 AND coalesce(shared, '') <> '' AS INTEGER) AS joinable FROM t LEFT JOIN c ON t.document_id = c.document_id""",

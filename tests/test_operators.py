@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulae.functions.text import distinct_ignoring_case, lexical_score, shingles, uuid5
-from tabulae.functions.values import numeric_value, observe_text, read_period
+from tabulae.functions.values import numeric_value, observe, parse_period
+from tabulae.operators import concepts as C
 from tabulae.operators import outline as O
 from tabulae.operators import profile as P
 from tabulae.operators import quiz as Q
@@ -48,16 +49,17 @@ def test_wide_table(spark):
 
 
 @pytest.mark.parametrize(("text", "label", "want"), [("FY24", "", "FY2024"), ("2019-20", "", "2019-20"), ("2021 Q3", "", "2021 Q3"), ("Q3-2021", "", "2021 Q3"), ("Mar 2020", "", "2020-03"), ("may", "", "month-05"), ("2023", "Year", "2023"), ("2023", "2023", "2023"), ("2023/02/28", "", "2023-02-28"), ("20240131", "x", "2024-01-31"), ("5-Jan-2020", "x", "2020-01-05")])
-def test_periods(text, label, want):
-    assert read_period(text, label)[1] == want
+def test_periods(spark, text, label, want):
+    got = spark.createDataFrame([(text, label, "x")], "t string, l string, text string").select(parse_period("t", "l").alias("p")).collect()[0]
+    assert got.p.label == want
 
 
-def test_observations():
-    assert read_period("2023", "Revenue") is None
-    assert observe_text("2023", "Revenue")[0] == "integer"
-    assert observe_text("(1,204.5)", "x")[3] == -1204.5
-    assert observe_text("12 million", "x")[3] == 12
-    assert [observe_text(x, "x")[0] for x in ("n/a", None, "yes", "abc", "5 %")] == [None, None, "boolean", "string", "integer"]
+def test_observations(spark):
+    cells = [("2023", "Revenue"), ("(1,204.5)", "x"), ("12 million", "x"), ("n/a", "x"), (None, "x"), ("yes", "x"), ("abc", None), ("5 %", "x"), ("30-02-2021", "x"), ("2021 q4", "x")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "i int, raw string, label string").withColumn("o", F.lit(1)).drop("o")
+    got = {r.i: r.o for r in observe(rows, "raw", "label").collect()}
+    assert [got[i] and got[i].kind for i in range(10)] == ["integer", "number", "integer", None, None, "boolean", "string", "integer", "string", "quarter"]
+    assert [got[i].number for i in (0, 1, 2, 7)] == [2023, -1204.5, 12, 5] and got[9].period.interval == 2021 * 4 + 3 and got[9].number is None
 
 
 def test_numbers_in_columns(spark):
@@ -74,8 +76,46 @@ def test_text_functions(spark):
 
 
 @pytest.mark.parametrize(("phrase", "text", "want"), [("Customer A", "Customer 2024 2023 2022 A 19 percent", 0.82), ("Customer A", "The customer accepted a product.", 0.0), ("customers", "one customer", 1.0), ("EPS", "earnings per share", 0.95), ("R&D", "research and development costs", 0.95), ("", "x", 0.0), (None, None, 0.0)])
-def test_phrases(phrase, text, want):
-    assert S.phrase_strength(phrase, text) == want
+def test_phrases(spark, phrase, text, want):
+    row = spark.createDataFrame([(phrase, text)], "phrase string, text string")
+    assert row.select(C.strength(C.prepared("phrase"), C.prepared("text")).alias("s")).collect()[0].s == want
+    if phrase:
+        assert C.strengths_of(row, "text", [phrase]).collect()[0].strengths == [want]
+
+
+def near(query, text, gap=6):
+    """Greedy search from every start, word by word."""
+    for i, t in enumerate(text):
+        k = int(t == query[0])
+        if k:
+            for u in text[i + 1 : i + len(query) + gap]:
+                k += k < len(query) and u == query[k]
+            if k == len(query):
+                return True
+    return False
+
+
+def test_phrases_against_brute_force(spark):
+    import random
+
+    made = random.Random(5)
+    rows = [(i, " ".join(made.choices("abcd", k=made.randint(1, 3))), " ".join(made.choices("abcdefgh", k=made.randint(1, 14)))) for i in range(300)]
+    got = spark.createDataFrame(rows, "i int, p string, t string").withColumn("p", C.prepared("p")).withColumn("t", C.prepared("t")).select("i", C.strength(F.col("p"), F.col("t")).alias("s")).collect()
+    for r in got:
+        p, t = (rows[r.i][k].split() for k in (1, 2))
+        want = 1.0 if any(t[i : i + len(p)] == p for i in range(len(t))) else 0.82 if len(p) > 1 and near(p, t) else 0.0
+        assert r.s == want, rows[r.i]
+
+
+def test_signals_and_scores(spark):
+    asked = spark.createDataFrame([("r", "Net profit in FY 2024 in USD million", [("net profit", ["Net  Profit", "PAT", None]), (" ", None)], ["net profit", "margin"], ["Acme"], ["FY2023"], None, 1)], "run string, query string, concepts array<struct<canonical:string,variants:array<string>>>, metrics array<string>, entities array<string>, years array<string>, units array<string>, query_count int")
+    s = C.signals(asked)
+    row = s.collect()[0]
+    assert row.concept_terms == [["net profit", "PAT"], ["margin"], ["Acme"]] and row.year_terms == ["2023", "2024"] and row.unit_terms == ["USD", "million"]
+    rows = spark.createDataFrame([("r", "a", "profit after tax 2024 in USD", 0.03, 2, 1), ("r", "b", "other", None, 1, 1), ("q", "c", "x", 0.1, 1, 1)], "run string, id string, text string, rrf double, n_modes int, n_queries int")
+    got = {r.id: r for r in C.scored(rows, s, "run", "text").collect()}
+    assert set(got) == {"a", "b"} and got["a"].concept == round(0.95 / 3, 6) and (got["a"].year, got["a"].unit) == (0.5, 0.5)
+    assert got["b"].relevance == 0.0 and got["a"].relevance == pytest.approx(0.45 * got["a"].rrf_part + 0.4 * got["a"].concept + 0.03 + 0.01 + 0.07 * 1.0, abs=2e-6)
 
 
 def test_rank_fusion(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabulae.functions import text as X
 from tabulae.operators import assessment as A
+from tabulae.operators import concepts
 from tabulae.operators import context as C
 from tabulae.operators import hydration as H
 from tabulae.operators import representatives as R
@@ -34,7 +35,7 @@ def test_relative_best_rescues_the_first(spark):
 
 def test_consensus(spark):
     df = spark.createDataFrame([("r", 2, 3), ("r", 1, 1), ("r", 1, 1), ("s", 2, 2)], "run string, m int, q int")
-    got = sorted((r.run, r.m, round(r.consensus, 6)) for r in S.consensus(df, "run", F.col("m"), F.col("q"), 3).collect())
+    got = sorted((r.run, r.m, round(r.consensus, 6)) for r in concepts.consensus(df, "run", F.col("m"), F.col("q"), F.lit(3)).collect())
     assert got == [("r", 1, 0.0), ("r", 1, 0.0), ("r", 2, 1.0), ("s", 2, 0.0)]
 
 
