@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulae.session import checkpoint, salted_join
@@ -71,6 +70,11 @@ STABLE = "\\x00-\\x7F\\xC0-\\xD6\\xD8-\\xF6\\xF8-\\xFF"
 STRETCH = f"(?<![^ \\t\\r\\n])[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x21-\\x7F{STABLE[9:]}]*+[^{STABLE}][^ \\t\\r\\n]*+"
 
 
+#: Code points after which a long stretch is cut before the next character that nothing before it composes with: a letter or digit, but no conjoining or half-width one.
+CUT = 32
+CHUNK = "(?s).{1," + str(CUT) + "}(?:(?![\\p{Lu}\\p{Ll}\\p{Lo}\\p{N}&&[^\\x{1100}-\\x{11FF}\\x{A960}-\\x{A97F}\\x{D7B0}-\\x{D7FF}\\x{FF61}-\\x{FFDF}]]).)*+"
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The mapping (one row per character and part) and the classes of combining marks; both are bounded by the size of Unicode."""
     rows = [(c, k, p) for c, to in mapping().items() for k, p in enumerate(to or [""])]
@@ -88,8 +92,13 @@ def canonical_stretches(stretches: DataFrame) -> DataFrame:
     points = stretches.select("stretch", F.posexplode(F.split(keep, "")).alias("pos", "ch")).where("ch <> ''")
     points = points.join(chars, "ch", "left").select("stretch", "pos", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("part", "ch").alias("part")).where("part <> ''")
     points = points.join(classes, "part", "left").fillna(0, ["class"])
-    base = F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(W.partitionBy("stretch").orderBy("pos", "part_no").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ordered = points.withColumn("cluster", base).groupBy("stretch").agg(F.array_sort(F.collect_list(F.struct("cluster", "class", "pos", "part_no", "part"))).alias("points"))
+    # a stretch is short, so its points are one small row; marks that stand out of the order of their classes are sorted behind their base
+    placed = points.groupBy("stretch").agg(F.array_sort(F.collect_list(F.struct("pos", "part_no", "class", "part"))).alias("points"))
+    cluster = lambda i: F.size(F.filter(F.slice("points", 1, i + 1), lambda p: p["class"] == 0))
+    sorted_ = F.array_sort(F.transform("points", lambda p, i: F.struct(cluster(i).alias("cluster"), p["class"].alias("class"), i.alias("at"), p["part"].alias("part"))))
+    crossed = F.exists(F.zip_with("points", F.slice("points", 2, F.size("points")), lambda a, b: (b["class"] > 0) & (a["class"] > b["class"])), lambda x: F.coalesce(x, F.lit(False)))
+    plain = F.transform("points", lambda p: F.struct(F.lit(0).alias("cluster"), p["class"].alias("class"), p["pos"].alias("at"), p["part"].alias("part")))
+    ordered = placed.select("stretch", F.when(crossed, sorted_).otherwise(plain).alias("points"))
     joined = F.array_join(F.transform("points", lambda p: p["part"]), "")
 
     @F.pandas_udf("string")
@@ -119,7 +128,11 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cut = odd.groupBy("id").agg(F.first("text").alias("text"))
     # written once: the stretches are read for the vocabulary, for their places and for putting texts back
     cut = cut.select("id", F.split("text", STRETCH, -1).alias("between"), F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)).alias("parts"))
-    cut = checkpoint(cut)
+    # stretches are cut to a bounded length, with nothing between their parts, so a page without blanks costs in proportion to its length
+    chunks = lambda p: F.regexp_extract_all(p, F.lit(CHUNK), F.lit(0))
+    spaced = F.flatten(F.zip_with("between", "parts", lambda b, p: F.when(F.char_length(p) > CUT, F.concat(F.array(b), F.array_repeat(F.lit(""), F.size(chunks(p)) - 1))).otherwise(F.array(b))))
+    pieces = F.flatten(F.transform("parts", lambda p: F.when(F.char_length(p) > CUT, chunks(p)).otherwise(F.array(p))))
+    cut = checkpoint(cut.select("id", spaced.alias("between"), pieces.alias("parts")))
     spread = cut.select("id", F.posexplode("parts").alias("pos", "stretch"))
     forms = canonical_stretches(spread.select("stretch").distinct())
     put = salted_join(spread, forms, ["stretch"], F.col("id"), "inner", 8).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("forms"))
@@ -128,21 +141,37 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return plain.unionByName(made).withColumnRenamed("key", key)
 
 
+def _shaped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc``, ``form`` and ``body``, as hashes, of documents with something to see."""
+    shaped = canonical_texts(docs, key, text).where(F.col("form").rlike(r"\S"))
+    return checkpoint(shaped.select(F.col(key).alias("doc"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("body")).distinct())
+
+
+def lookalike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document that shares its form with a different text: ``key``, ``class_id`` (the least key of the form), ``copy_of`` (the least key of its own text) and ``n_texts``, the different texts of the class.
+
+    This is the result for any size: every pair of different texts of a class looks alike, and copies
+    of a text are told by ``copy_of``. Null, empty and blank texts are in no class; a document listed
+    twice is one. Counted per text before the shuffle by form, so a text with many copies is one row.
+    """
+    named = _shaped(docs, key, text)
+    texts = named.groupBy("form", "body").agg(F.min("doc").alias("copy_of"))
+    classes = texts.groupBy("form").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("n_texts")).where("n_texts > 1")
+    members = texts.join(classes, "form").select("body", "class_id", "copy_of", "n_texts")
+    return salted_join(named.select("doc", "body"), members, ["body"], F.col("doc"), "inner").select(F.col("doc").alias(key), "class_id", "copy_of", "n_texts")
+
+
 def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of documents (``<key>_a`` < ``<key>_b``) whose texts are different strings of one form.
 
     Null texts and texts whose form is white space alone form no pairs; exact copies form none with
     each other. A document listed twice gives its pairs once. Different texts of a form are paired
     first, by hash, and only those pairs are expanded to documents, so copies of one text are never
-    compared with each other.
+    compared with each other. The result has every pair; ``lookalike_classes`` has the classes.
     """
-    shaped = canonical_texts(docs, key, text).where(F.col("form").rlike(r"\S"))
-    named = shaped.select(F.col(key).alias("doc"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("body")).distinct()
-    named = checkpoint(named)
+    named = _shaped(docs, key, text)
     bodies = named.select("form", "body").distinct()
-    alike = bodies.groupBy("form").agg(F.collect_list("body").alias("bodies")).where(F.size("bodies") > 1)
-    one = alike.select("form", F.explode("bodies").alias("body_a"), "bodies")
-    pairs = one.select("body_a", F.explode(F.filter("bodies", lambda b: b > F.col("body_a"))).alias("body_b"))
+    pairs = bodies.select("form", F.col("body").alias("body_a")).join(bodies.select("form", F.col("body").alias("body_b")), "form").where("body_a < body_b")
     a, b = (named.select(F.col("body").alias(f"body_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab")
     met = pairs.join(a, "body_a").join(b, "body_b").where("doc_a <> doc_b")
     return met.select(F.least("doc_a", "doc_b").alias(f"{key}_a"), F.greatest("doc_a", "doc_b").alias(f"{key}_b")).distinct()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulae.llm.lookalike import canonical_texts, lookalike_pairs
-from tabulae.llm.mixture import mix, plan_mixture, shares
+from tabulae.llm.lookalike import canonical_texts, lookalike_classes, lookalike_pairs
+from tabulae.llm.mixture import mix, shares
 from tabulae.llm.scanned import noisy_lines, paragraphs
 from tabulae.llm.split import split_items
 from tabulae.llm.tokens import count_tokens, encode_texts
@@ -55,7 +55,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return plan_mixture(_sizes(spark, d), read(spark, d, "mix_targets")).where("short").select("source")
+    return shares(_sizes(spark, d), read(spark, d, "mix_targets")).where("short").select("source")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -70,11 +70,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(read(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_classes(read(spark, d, "documents"))
+
+
 def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(read(spark, d, "documents")).select("doc_id", F.col("form").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p4_paragraphs, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p4_paragraphs, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_classes, p8_texts)}
 
 SQL = {
     "p1_found": r"""

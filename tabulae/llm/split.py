@@ -1,8 +1,9 @@
 """Splitting of oversized texts at natural boundaries by pointer doubling.
 
-Every position where a text may be cut is a node. A node's successor is the farthest legal next cut:
-the piece that starts ``overlap`` characters before the node and ends there is at most ``limit``
-long. Squaring the successor table doubles the distance it jumps, so all cuts of all texts of a
+Every position where a text may be cut is a node. A node's successor is the farthest legal next cut
+(the piece that starts ``overlap`` characters before the node and ends there is at most ``limit``
+long), where a better boundary - a paragraph before a sentence before a word - in the last part of
+that reach goes before a farther one; how large that part is, is a parameter. Squaring the successor table doubles the distance it jumps, so all cuts of all texts of a
 batch are found in as many rounds as the longest text has binary digits of pieces.
 """
 
@@ -38,6 +39,8 @@ PIECES = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
+#: Part of a node's reach, from its far end, in which a better boundary goes before a farther one; 0 takes the farthest legal cut.
+PREFERRED = 0.5
 CUTS = ("forced", "word", "sentence", "paragraph", "end")
 
 
@@ -69,10 +72,10 @@ def boundaries(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return at, rank, longest
 
 
-def successors(at: np.ndarray, rank: np.ndarray, n: int, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def successors(at: np.ndarray, rank: np.ndarray, n: int, limit: int, overlap: int, preferred: float = PREFERRED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes (the start, all cuts, the end), the rank of each, and the node each leads to.
 
-    From a node the best-ranked cut in the farther half of its reach is taken, the farthest of that
+    From a node the best-ranked cut in the ``preferred`` part of its reach is taken, the farthest of that
     rank; failing that the farthest cut at all; failing that the text is cut by force where the
     reach ends. Forced cuts form chains behind a cut that is followed by no other within its reach.
     """
@@ -90,7 +93,7 @@ def successors(at: np.ndarray, rank: np.ndarray, n: int, limit: int, overlap: in
     far = nodes + step
     far[0] = limit
     to = np.searchsorted(nodes, far, side="right") - 1
-    half = far - np.where(np.arange(len(nodes)) == 0, limit, step) // 2
+    half = far - (np.where(np.arange(len(nodes)) == 0, limit, step) * preferred).astype(int)
     chosen = np.zeros(len(nodes), dtype=bool)
     for r in (3, 2):
         of = np.flatnonzero(ranks == r)
@@ -114,7 +117,7 @@ def greedy_cuts(successor: np.ndarray, starts: np.ndarray) -> np.ndarray:
         reached, table = more, table[table]
 
 
-def split_items(items: DataFrame, limits: DataFrame, with_text: bool = True) -> DataFrame:
+def split_items(items: DataFrame, limits: DataFrame, with_text: bool = True, preferred: float = PREFERRED) -> DataFrame:
     """The pieces of every text longer than its collection's limit, see ``PIECES``.
 
     ``items``: ``rec_table``, ``rec_key``, ``collection``, ``text``, ``page_number``; ``limits``:
@@ -141,20 +144,20 @@ def split_items(items: DataFrame, limits: DataFrame, with_text: bool = True) ->
         for whole in batches:
             step = max(1, int(4_000_000 / max(1, whole.nbytes / max(1, whole.num_rows))))
             for begin in range(0, whole.num_rows, step):
-                yield _pieces(whole.slice(begin, step), with_text)
+                yield _pieces(whole.slice(begin, step), with_text, preferred)
 
     out = picked.mapInArrow(run, PIECES)
     return out.dropDuplicates() if with_text else out.drop("text").dropDuplicates()
 
 
-def _pieces(b: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
+def _pieces(b: pa.RecordBatch, with_text: bool, preferred: float) -> pa.RecordBatch:
     texts, pages = b.column(3).to_pylist(), b.column(4).to_pylist()
     limits, overlaps = b.column(5).to_pylist(), b.column(6).to_pylist()
     offset, tables, starts, per_text = 0, [], [], []
     for text, limit, overlap in zip(texts, limits, overlaps):
         chars = code_points(text)
         at, rank, longest = boundaries(chars)
-        nodes, ranks, to = successors(at, rank, len(chars), limit, overlap)
+        nodes, ranks, to = successors(at, rank, len(chars), limit, overlap, preferred)
         tables.append(to + offset)
         starts.append(offset)
         per_text.append((chars, nodes, ranks, longest, offset))

@@ -38,14 +38,19 @@ def top_items(rows: DataFrame, group: str, item: str, score: str, tie: str, n: i
     picked = picked.where("grp IS NOT NULL AND grp <> '' AND item IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
 
     def heaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held, waiting, size = None, [], 0
         for b in batches:
-            held = _best(b if held is None else pd.concat([held, b], ignore_index=True), n)
-            if len(held) > HELD:
-                yield held
-                held = None
-        if held is not None and len(held):
-            yield held
+            waiting.append(_best(b, n))
+            size += len(waiting[-1])
+            # merged when as much waits as is held, so a row is sorted a few times however many batches come
+            if size > max(20_000, 0 if held is None else len(held)):
+                held, waiting, size = _best(pd.concat([*([] if held is None else [held]), *waiting], ignore_index=True), n), [], 0
+                if len(held) > HELD:
+                    yield held
+                    held = None
+        rest = [*([] if held is None else [held]), *waiting]
+        if rest and sum(map(len, rest)):
+            yield _best(pd.concat(rest, ignore_index=True), n)
 
     sent = picked.mapInPandas(heaps, picked.schema).repartition("grp")
     tie_key = F.coalesce("tie", F.lit(float("inf")))

@@ -4,8 +4,8 @@ Each column has candidate readings (a dimension and a size in base units). Every
 column - its unit, its label, its cells, its table's title - is an identity that a reading should
 fulfil; the difference of the logarithms is its residual. Physical identities among the columns of
 a dataset (a margin is a profit over a revenue, a mass a density times a volume) add residuals over
-pairs and triples of columns and decide where the statements leave several readings. The combination
-with the least sum wins; if others come as low the result is flagged.
+pairs and triples of columns and decide where the statements leave several readings or none. The
+combination of all columns with the least sum wins; if others come as low the result is flagged.
 """
 
 from __future__ import annotations
@@ -146,17 +146,33 @@ def strip_number(cell: Column) -> Column:
     return F.btrim(F.when(led != cell, led).otherwise(F.regexp_replace(cell, r"\s*" + number + r"\s*$", "")))
 
 
-#: Identities among columns, (whole, [(part, power)], tolerance): the whole is the product of the parts in base units, with shares as basis points of one.
+@dataclass(frozen=True)
+class Identity:
+    """Physical relation: the ``whole`` is the product of the ``parts`` to their powers, in base units.
+
+    A role is a dimension (``money`` for any one currency) and a word that the column's key or label
+    must hold, or none. Columns are bound to roles by these, and only together if what else their keys
+    say, where they say anything else, is the same (``steel_mass``, ``steel_density``, ``volume``).
+    """
+
+    whole: tuple[str, str | None]
+    parts: tuple[tuple[str, str | None, int], ...]
+
+
 IDENTITIES = (
-    ("operating_margin", (("operating_profit", 1), ("revenue", -1)), 0.02),
-    ("mass", (("density", 1), ("volume", 1)), 0.02),
-    ("energy", (("power", 1), ("duration", 1)), 0.02),
+    Identity(("mass", None), (("density", None, 1), ("volume", None, 1))),
+    Identity(("energy", None), (("power", None, 1), ("duration", None, 1))),
+    Identity(("share", "margin"), (("money", "profit", 1), ("money", "revenue", -1))),
 )
+#: Words of a key that name what is measured: the dimension that a column of which nothing is stated may have.
+MEASURED = {"mass": "mass", "weight": "mass", "density": "density", "volume": "volume", "energy": "energy", "power": "power", "duration": "duration", "hours": "duration", "time": "duration", "area": "area", "margin": "share", "profit": None, "revenue": None}
 
 #: Weights of the statements' residuals: a column's own statements outweigh its table's.
 WEIGHTS = {"unit": 8.0, "label": 4.0, "cells": 2.0, "title": 1.0}
-#: Sum of residuals above which a reading that no statement backs is not believed.
+#: Residual from which a reading that no statement backs is not believed: what leaving the column unread costs.
 BELIEVED = 0.05
+#: Sums of residuals that differ by less count as equal.
+EQUAL = 1e-6
 
 
 def candidates(own: str | None, label: str | None, cells: str | None, title: str | None, dimension: str | None) -> list[tuple[Reading, float]]:
@@ -180,43 +196,107 @@ def candidates(own: str | None, label: str | None, cells: str | None, title: str
     return sorted(out, key=lambda x: (x[1], str(x[0].dimension), x[0].size))
 
 
+def _words(column: dict) -> tuple[set[str], frozenset[str]]:
+    """The words of a column's key and label, and those of its key that do not name what is measured."""
+    key = re.findall(r"[^\W_]+", column["key"].lower())
+    return {*key, *re.findall(r"[^\W_]+", (column.get("label") or "").lower())}, frozenset(w for w in key if w not in MEASURED)
+
+
+def bindings(columns: list[dict], options: list[list], identities=IDENTITIES) -> list[tuple[int, list[tuple[int, int]]]]:
+    """All ways to bind columns with a median to the roles of the identities: the column of the whole and those of the parts with their powers."""
+    words = [_words(c) for c in columns]
+
+    def fit(dimension: str, word: str | None) -> list[int]:
+        kinds = MONEY if dimension == "money" else (dimension,)
+        return [i for i, c in enumerate(columns) if c.get("log") is not None and (word is None or word in words[i][0]) and any(r and r.dimension in kinds for r, _ in options[i])]
+
+    out = []
+    for identity in identities:
+        for found in itertools.product(fit(*identity.whole), *(fit(d, w) for d, w, _ in identity.parts)):
+            if len(set(found)) == len(found) and len({words[i][1] for i in found if words[i][1]}) <= 1:
+                out.append((found[0], [(i, p) for i, (_, _, p) in zip(found[1:], identity.parts)]))
+    return out
+
+
 def solve(columns: list[dict], identities=IDENTITIES) -> list[tuple[Reading | None, float, bool]]:
     """For each column (``key``, ``candidates``, ``free`` readings if none, ``log`` median of its values) the chosen reading, its residual and whether others came as low.
 
-    A column with statements keeps their best reading unless several come equally low; a column
-    without any takes part with its ``free`` readings if an identity binds it to others, and is
-    believed only if the identity then holds within its tolerance.
+    A column with statements keeps their best readings; a column without any may take one of its
+    ``free`` readings if an identity binds it to others, or stay unread at the cost of ``BELIEVED``.
+    The combination of all columns that identities connect is chosen at once, by the least sum of the
+    residuals of all of them; if other combinations come as low, what no statement backs is flagged.
     """
-    by_key = {c["key"]: i for i, c in enumerate(columns)}
     options: list[list[tuple[Reading | None, float]]] = []
     for c in columns:
         best = [x for x in c["candidates"] if x[1] - c["candidates"][0][1] < 1e-9]
-        options.append(best or [(None, 0.0)])
-    chosen = [o[0] for o in options]
-    unsure = [len(o) > 1 for o in options]
-    for whole, parts, tolerance in identities:
-        names = [whole, *(p for p, _ in parts)]
-        if not all(n in by_key for n in names):
-            continue
-        at = [by_key[n] for n in names]
-        if any(columns[i].get("log") is None for i in at):
+        options.append(best or [(None, BELIEVED), *((r, 0.0) for r in c.get("free", []) if r)])
+    stated = [bool(c["candidates"]) for c in columns]
+    bound = bindings(columns, options, identities)
+    out = [(o[0][0], o[0][1] if known else 0.0, known and len(o) > 1) for o, known in zip(options, stated)]
+    groups: list[set[int]] = []
+    for whole, parts in bound:
+        mine = {whole, *(i for i, _ in parts)}
+        for g in [g for g in groups if g & mine]:
+            mine |= g
+            groups.remove(g)
+        groups.append(mine)
+    for group in groups:
+        if all(len(options[i]) == 1 for i in group):
             continue
-        choice = [options[i] if options[i][0][0] else [(r, 0.0) for r in columns[i].get("free", [])] for i in at]
-        if any(not c for c in choice) or all(len(c) == 1 for c in choice):
-            continue
-        scored = []
-        for combo in itertools.product(*choice):
-            logs = [columns[i]["log"] + math.log10(r.size) for i, (r, _) in zip(at, combo)]
-            if combo[0][0].dimension == "share":
-                logs[0] -= 4
-            miss = abs(logs[0] - sum(p * v for (_, p), v in zip(parts, logs[1:])))
-            scored.append((miss, combo))
-        scored.sort(key=lambda x: x[0])
-        ties = sum(m - scored[0][0] < 1e-6 for m, _ in scored)
-        if scored[0][0] <= max(tolerance, BELIEVED):
-            for i, (r, w) in zip(at, scored[0][1]):
-                chosen[i], unsure[i] = (r, w + scored[0][0]), ties > 1
-    return [(r, m, u) for (r, m), u in zip(chosen, unsure)]
+        rules = [b for b in bound if b[0] in group]
+        for i, found in _least(columns, options, stated, sorted(group), rules).items():
+            out[i] = found
+    return out
+
+
+def _log(column: dict, reading: Reading) -> float:
+    return column["log"] + math.log10(reading.size) - (4 if reading.dimension == "share" else 0)
+
+
+def _least(columns, options, stated, order, rules) -> dict[int, tuple[Reading | None, float, bool]]:
+    """The combination of the group's readings with the least sum of residuals, by search that gives up a branch once it costs more than the best."""
+    needed = [max(order.index(i) for i in (w, *(p for p, _ in parts))) for w, parts in rules]
+    best: list[tuple[float, tuple]] = []
+
+    def miss(rule, taken) -> float | None:
+        whole, parts = rule
+        if any(taken[i][0] is None for i in (whole, *(p for p, _ in parts))):
+            return None
+        money = {taken[i][0].dimension for i, _ in parts if taken[i][0].dimension in MONEY}
+        if len(money) > 1:
+            return math.inf
+        return abs(_log(columns[whole], taken[whole][0]) - sum(p * _log(columns[i], taken[i][0]) for i, p in parts))
+
+    def search(k: int, taken: dict, cost: float, backed: frozenset) -> None:
+        if best and cost > best[0][0] + EQUAL:
+            return
+        if k == len(order):
+            if all(stated[i] or taken[i][0] is None or i in backed for i in order):
+                if best and cost < best[0][0] - EQUAL:
+                    best.clear()
+                best.append((cost, tuple(taken[i] for i in order)))
+                best.sort(key=lambda x: x[0])
+            return
+        for option in options[order[k]]:
+            taken[order[k]] = option
+            more, now = option[1], set()
+            for rule, at in zip(rules, needed):
+                if at == k and (m := miss(rule, taken)) is not None:
+                    more += m
+                    now |= {rule[0], *(i for i, _ in rule[1])}
+            search(k + 1, taken, cost + more, backed | now)
+            del taken[order[k]]
+
+    search(0, {}, 0.0, frozenset())
+    least = [b for b in best if b[0] - best[0][0] < EQUAL]
+    chosen = dict(zip(order, least[0][1]))
+    residual = {i: 0.0 for i in order}
+    for rule in rules:
+        if (m := miss(rule, chosen)) is not None:
+            for i in (rule[0], *(p for p, _ in rule[1])):
+                residual[i] += m
+    open_ = lambda i: len(options[i]) > 1 and chosen[i][0] is not None and len(least) > 1
+    return {i: (r, (w if stated[i] else 0.0) + residual[i], open_(i)) for i, (r, w) in chosen.items()}
 
 
 FREE = {"share": ["%", "fraction of 1", "bp"], "mass": ["g", "kg", "t", "kt", "Mt"], "volume": ["L", "m3", "ML"], "energy": ["kJ", "MJ", "GJ", "TJ", "kWh", "MWh", "GWh"], "duration": ["h", "d"], "area": ["m2", "ha", "km2"], "density": ["kg/m3", "g/cm3", "mg/L"], "power": ["W", "kW", "MW", "GW"]}
@@ -293,8 +373,9 @@ def _dataset(title, page_start, page_end, given, pages, goal) -> list[dict]:
     out = []
     columns = []
     for c in given if given is not None else []:
-        free = [parse_unit(u) for u in FREE.get(c["dimension"] or c["key"], [])]
-        columns.append({"key": c["key"], "candidates": candidates(c["unit"], c["label"], c["cell_unit"], title, c["dimension"]), "free": free, "log": c["log"]})
+        named = next((MEASURED[w] for w in reversed(re.findall(r"[^\W_]+", c["key"].lower())) if MEASURED.get(w)), None)
+        free = [parse_unit(u) for u in FREE.get(c["dimension"] or named, [])]
+        columns.append({"key": c["key"], "label": c["label"], "candidates": candidates(c["unit"], c["label"], c["cell_unit"], title, c["dimension"]), "free": free, "log": c["log"]})
     for c, (reading, miss, unsure) in zip(columns, solve(columns)):
         if reading and (to := common(reading, goal)):
             out.append({"item": c["key"], "common_unit": to[0], "factor": float(to[1]), "common_number": round(to[1]), "residual": float(miss), "non_unique": bool(unsure)})

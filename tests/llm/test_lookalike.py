@@ -3,7 +3,7 @@ import unicodedata
 
 import pytest
 
-from tabulae.llm.lookalike import canonical_texts, lookalike_pairs, mapping
+from tabulae.llm.lookalike import canonical_texts, lookalike_classes, lookalike_pairs, mapping
 
 SCHEMA = "doc_id bigint, text string, form string, key string"
 ALIKE = [
@@ -60,3 +60,19 @@ def test_empty_and_repeated(spark):
     assert lookalike_pairs(frame(spark, [])).count() == 0
     twice = spark.createDataFrame([(1, "a b", "", ""), (1, "a b", "", ""), (2, "a\u00a0b", "", "")], SCHEMA)
     assert [tuple(r) for r in lookalike_pairs(twice).collect()] == [(1, 2)]
+
+
+def test_classes_hold_copies_and_texts(spark):
+    rows = spark.createDataFrame([(1, "caf\u00e9"), (2, "cafe\u0301"), (3, "cafe\u0301"), (4, "cafe"), (5, None), (6, " "), (7, "\u00a0"), (1, "caf\u00e9")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.class_id, r.copy_of, r.n_texts) for r in lookalike_classes(rows).collect()}
+    assert got == {(1, 1, 1, 2), (2, 1, 2, 2), (3, 1, 2, 2)}
+    assert {tuple(r) for r in lookalike_pairs(rows).collect()} == {(1, 2), (1, 3)}
+
+
+def test_long_stretches_are_cut_where_nothing_composes(spark):
+    import unicodedata
+
+    han, kana, jamo = "\u6c34\u96fb" * 70, "\u30ab\u3099" * 50, "\u1112\u1161\u11ab" * 40
+    text = han + kana + jamo + "e\u0301\u0323" * 60 + "\uff76\uff9e" * 40 + "\u09c7\u09be" * 50
+    got = canonical_texts(spark.createDataFrame([(1, text), (2, "x" * 31 + "e\u0323\u0301" * 3)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.form for r in got} == {1: unicodedata.normalize("NFC", text.replace("\uff76\uff9e", "\u30ab\u3099")), 2: unicodedata.normalize("NFC", "x" * 31 + "e\u0323\u0301" * 3)}

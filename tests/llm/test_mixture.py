@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from tabulae.llm.mixture import mix, plan_mixture, shares
+from pyspark.sql import functions as F
+
+from tabulae.llm.mixture import mix, plan_mixture, schedule_inverse, segments, shares
 
 SIZES = "doc_id bigint, source string, n_tokens bigint, tokens string, h int"
 TARGETS = "source string, target_share double, max_repeats int, note string"
@@ -58,3 +60,24 @@ def test_shares_and_empty(spark, data):
     none = spark.createDataFrame([], SIZES)
     assert mix(none, goal).count() == 0 and plan_mixture(none, spark.createDataFrame([], TARGETS)).count() == 0
     assert not any(r.short for r in plan_mixture(none, goal).collect())
+
+
+def test_curriculum_shapes_shares_over_time(spark):
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(4000)], "doc_id bigint, source string, n_tokens bigint")
+    goal = spark.createDataFrame([("a", 0.5, 1, ""), ("b", 0.5, 1, "")], TARGETS)
+    curve = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.5, 0.5), ("a", 1.0, 0.0), ("b", 0.0, 0.0), ("b", 0.5, 0.5), ("b", 1.0, 1.0), ("b", 2.0, 9.0), (None, 0.5, 9.0), ("b", 0.5, None)], "source string, t double, weight double")
+    got = mix(sizes, goal, curve).collect()
+    for low, high, want in ((0.0, 0.1, 0.95), (0.2, 0.3, 0.75), (0.45, 0.55, 0.5), (0.9, 1.0, 0.05)):
+        inside = [r.source for r in got if low <= r.position < high]
+        assert abs(inside.count("a") / len(inside) - want) < 0.03
+    rows = {r.source: r for r in shares(sizes, goal, curve).collect()}
+    assert rows["a"].actual_share == rows["b"].actual_share == 0.5 and not rows["a"].short
+
+
+def test_steps_gaps_and_zeros_of_schedules(spark):
+    curve = spark.createDataFrame([("s", 0.2, 0.0), ("s", 0.4, 2.0), ("s", 0.6, 0.0), ("z", 0.1, 0.0), ("z", 0.9, -1.0)], "source string, t double, weight double")
+    parts = spark.createDataFrame([(s, p / 10) for s in "sz" for p in range(11)], "source string, part double")
+    rows = parts.join(segments(curve), "source").select("source", "part", schedule_inverse(F.col("part"), F.col("segments")).alias("t")).collect()
+    got = {(r.source, round(r.part, 1)): r.t for r in rows}
+    assert got["s", 0.5] == pytest.approx(0.4) and got["s", 0.0] == pytest.approx(0.2) and got["s", 1.0] == pytest.approx(0.6)
+    assert got["s", 0.2] == pytest.approx(0.2 + (0.2 * 0.4 / 5) ** 0.5) and all(got["z", p / 10] == pytest.approx(p / 10) for p in range(11))

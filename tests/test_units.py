@@ -110,3 +110,38 @@ def test_mass_and_energy_decided_by_identity(spark):
     found = {(r.rec_key, r["item"]): r for r in dataset_units(spark.createDataFrame(rows, schema), tables, targets).collect()}
     assert {k: (r.common_unit, r.factor) for k, r in found.items() if k[1] in ("mass", "energy") and not r.non_unique} == {("d1", "mass"): ("g", 1e6), ("d2", "energy"): ("kJ", 3.6e6)}
     assert found["d4", "mass"].non_unique and ("d3", "mass") not in found
+
+
+def column(key, values, unit=None, free=()):
+    return {"key": key, "candidates": [(parse_unit(unit), 0.0)] if unit else [], "free": [parse_unit(u) for u in free], "log": math.log10(values)}
+
+
+MASSES, DENSITIES, VOLUMES = ("g", "kg", "t", "kt"), ("kg/m3", "g/cm3", "mg/L"), ("L", "m3", "ML")
+
+
+def test_two_identities_decide_together():
+    # the volume alone fits two units with the first mass; only one of them fits the second mass as well
+    found = solve([column("steel_mass", 15700, "kg"), column("steel_density", 7850, "kg/m3"), column("volume", 2, free=VOLUMES), column("oil_mass", 1.6, free=MASSES), column("oil_density", 800, "kg/m3")])
+    assert [float(r.size) for r, _, _ in found] == [1e6, 1.0, 1e6, 1e9, 1.0] and not any(u for _, _, u in found)
+
+
+def test_contradictions_leave_columns_unread():
+    found = solve([column("steel_mass", 15700, "kg"), column("steel_density", 7850, "kg/m3"), column("volume", 3.1, free=VOLUMES)])
+    assert found[2][0] is None and found[0][0] and not found[0][2]
+
+
+def test_ties_over_whole_combinations_are_flagged():
+    found = solve([column("mass", 15.7, free=MASSES), column("density", 7.85, free=DENSITIES), column("volume", 2, "m3")])
+    assert found[0][2] and found[1][2] and not found[2][2]
+
+
+def test_columns_of_other_things_are_not_bound():
+    found = solve([column("steel_mass", 15.7, free=MASSES), column("oil_density", 7850, "kg/m3"), column("steel_volume", 2, "m3")])
+    assert found[0][0] is None
+
+
+def test_margins_of_any_kind_by_their_words():
+    found = solve([column("net_margin", 0.125, free=("%", "fraction of 1", "bp")), column("net_profit", 125, "USD million"), column("revenue", 1, "USD bn"), column("gross_profit", 400, "USD million")])
+    assert float(found[0][0].size) == 1e4
+    mixed = solve([column("net_margin", 0.125, free=("%",)), column("net_profit", 125, "USD"), column("revenue", 1, "EUR")])
+    assert mixed[0][0] is None
