@@ -199,3 +199,24 @@ def test_ancestors_of_deep_trees_and_cycles(spark):
     got = {(r.node_id, r.ancestor_id): r.distance for r in ancestors(deep).collect()}
     want = {(i, j): i - j for i in range(140) for j in range(i + 1)} | {(200 + i, 200 + (i + d) % 3): d for i in range(3) for d in range(3)} | {(300, 300): 0}
     assert got == want
+
+
+def test_matched_agrees_with_strength(spark):
+    texts = ["Working-capital\nrequirements flies", "Net  profits rose", "profit, net", "The net of all other costs and later profit", "NCP and R&D", "net cápital Profits", "İstanbul ΟΔΟΣ ties buses boss bias", "a_b Class A shares", "class a share", "base64" + "s" * 3000, " _ -- ", "", None, "Straße 😀😀😀😀s policies net working capital profit"]
+    terms = ["net profit", "working capital requirement", "R&D", "research and development", "new capital products", "Class A", "İSTANBUL", "οδος", "policy", "fly", "tie", "bus", "bia", "😀", "---", "A B", "NP", "net working capital profits", "cápital"]
+    rows = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "run string, id int, text string")
+    none = F.array().cast("array<string>")
+    asked = spark.createDataFrame([("r", [[a, b] for a, b in zip(terms, terms[1:])] + [[t] for t in terms] + [[]])], "run string, concept_terms array<array<string>>").withColumns({"year_terms": none, "unit_terms": none})
+    got = {r.id: r.m for r in C.with_terms(rows, asked, "run").select("id", C.matched(F.col("_concepts"), F.col("_starts"), F.col("text")).alias("m")).collect()}
+    full = C.with_signals(rows, asked, "run").withColumn("t", C.prepared("text"))
+    assert got == {r.id: [int(s > 0) for s in r.s] for r in full.select("id", C.concept_strengths(F.col("_concepts"), F.col("t")).alias("s")).collect()}
+    assert all(x == y for x, y in rows.select(C.joined_roots("text"), C.prepared("text")["joined"]).collect())
+    assert all(sum(got[i]) for i in (0, 1, 4, 5, 6, 7, 13)) and not sum(got[2] + got[9] + got[10] + got[11] + got[12])
+
+
+def test_concept_df_matches_each_candidate_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["agg_concept_df"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "exists(" in line]
+    assert plan.count("(coalesce(text#") < 10
