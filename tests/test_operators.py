@@ -220,3 +220,14 @@ def test_concept_df_matches_each_candidate_once(spark):
     plan = entry.queries()["agg_concept_df"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "exists(" in line]
     assert plan.count("(coalesce(text#") < 10
+
+
+def test_spread_of_agreement_without_joining_candidates(spark):
+    import __spark_entry__ as entry
+
+    rows = spark.createDataFrame([("r", 1, 1), ("r", 1, 1), ("r", 2, 3), ("r", None, 1), ("s", None, None)], "run string, m int, q int")
+    got = {r.run: (r.n_candidates, r.n_levels, r.most) for r in C.agreement_spread(rows, "run", F.col("m"), F.col("q"), F.lit(3)).collect()}
+    whole = C.consensus(rows, "run", F.col("m"), F.col("q"), F.lit(3)).groupBy("run").agg(F.count("*"), F.count_distinct("raw"), F.max("raw")).collect()
+    assert got == {r[0]: tuple(r[1:]) for r in whole} and got["r"] == (4, 2, 1.0)
+    plan = entry.queries()["mt_context_build"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 2 and plan.count("(coalesce(text#") < 10
