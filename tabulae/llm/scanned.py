@@ -61,6 +61,7 @@ _MASK = re.compile(r"(?<![^\W_])[0-9OlZSBbg]*[0-9][0-9OlZSBbg]*(?![^\W_])")
 _APART = re.compile(r"(?:[^\w#]|_)+")
 _SECTION = re.compile(r"\d{1,2}\.\d{1,2} [^\W\d_][^.]* [^.]*")
 _READ = "".join(DIGITS_READ)
+_LETTERS_READ = frozenset(_READ)
 _FIGURES_READ = str.maketrans(DIGITS_READ)
 _NUMBER = re.compile(f"(FY|Q)?([0-9{_READ}]+(?:[.,][0-9{_READ}]+)*)")
 
@@ -329,7 +330,7 @@ def _line_tokens(line: str, common: set[str]) -> Iterator[tuple]:
             end += 1
         begin = parts[k].start()
         whole = line[begin : parts[end - 1].end()]
-        m = _NUMBER.fullmatch(whole) if any(c in whole for c in _READ) else None
+        m = _NUMBER.fullmatch(whole) if not _LETTERS_READ.isdisjoint(whole) else None
         number = m is not None and (any(c.isdigit() for c in whole) or m[1] == "Q" and len(m[2]) == 1)
         if number and not any(c in m[2] for c in _READ):
             number = False
@@ -370,6 +371,15 @@ def _rare_tokens(rows: DataFrame, common: set[str]) -> DataFrame:
     return rows.where("ref_id IS NOT NULL AND text IS NOT NULL").select(F.col("ref_id").cast("bigint").alias("ref_id"), "text").mapInArrow(run, TOKENS)
 
 
+def _with_forms(tokens: DataFrame, forms: DataFrame) -> DataFrame:
+    """Numbers with their own ``form`` and ``n_form`` 0, words once with each form that explains them; the texts are read once for both."""
+    # numbers meet no word: their key holds a sign, and differs by row so that they stay spread
+    key = F.when(F.col("form").isNull(), F.col("word")).otherwise(F.concat(F.lit("#"), F.col("ref_id")))
+    met = tokens.withColumn("_key", key).join(forms.select(F.col("word").alias("_key"), F.col("form").alias("_form"), F.col("n_form").alias("_n")), "_key", "left")
+    met = met.where("form IS NOT NULL OR _form IS NOT NULL").withColumn("form", F.coalesce("form", "_form")).withColumn("n_form", F.coalesce("_n", F.lit(0).cast("bigint")))
+    return met.drop("_key", "_form", "_n")
+
+
 def neighbour_counts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``a``, ``b`` and ``n``, how often word ``b`` follows word ``a`` in the texts, for the ``pairs`` asked about."""
 
@@ -437,8 +447,7 @@ def noise(rows: DataFrame) -> dict[str, DataFrame]:
 
     plain = words.join(fixes, "word", "left_anti").where(F.col("word").rlike(r"^(?:\p{L}+|[0-9]+)$") & ~F.col("word").rlike(f"^(?:fy|q)?[{_READ.lower()}]+$"))
     common = {r["word"] for r in plain.orderBy(F.desc("n"), "word").limit(COMMON).collect()}
-    tokens = _rare_tokens(rows, common)
-    tokens = checkpoint(tokens.where("form IS NOT NULL").withColumn("n_form", F.lit(0).cast("bigint")).unionByName(tokens.where("form IS NULL").drop("form").join(forms, "word")).distinct())
+    tokens = checkpoint(_with_forms(_rare_tokens(rows, common), forms).distinct())
     tokens = tokens.join(lines.where("role IN ('header', 'page_number')").select("ref_id", "line_no"), ["ref_id", "line_no"], "left_anti")
     # words that a line end cuts are judged as wholes
     cut = joints.where("cut")

@@ -132,3 +132,12 @@ def test_long_headers_and_wide_page_numbers(spark):
     data = [(i, None, i, f"{title} – {i}\nThe board met\nin the year.\npage{' ' * 30}{i}", "x", "y", 1) for i in range(10, 14)]
     got = {(r.ref_id, r.line_no, r.kind) for r in noisy_lines(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == {(i, 1, "header") for i in range(10, 14)} | {(i, 4, "page_number") for i in range(10, 14)}
+
+
+def test_rare_tokens_meet_their_forms_in_one_pass_over_the_texts(spark):
+    rows = spark.createDataFrame([(1, "Revenue of the hedqing plan in QZ 2O19"), (2, "a hedqing odd"), (3, None)], "ref_id bigint, text string")
+    forms = spark.createDataFrame([("hedqing", "hedging", 40), ("hedqing", "hedsing", 30), ("qz", "oz", 9)], "word string, form string, n_form bigint")
+    met = scanned._with_forms(scanned._rare_tokens(rows, {"a", "of", "the", "plan", "in", "odd"}), forms)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.ref_id, r.token, r.form, r.n_form) for r in met.collect())
+    assert got == [(1, "2O19", "2019", 0), (1, "QZ", "Q2", 0), (1, "hedqing", "hedging", 40), (1, "hedqing", "hedsing", 30), (2, "hedqing", "hedging", 40), (2, "hedqing", "hedsing", 30)]
